@@ -102,3 +102,52 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of values[bounds[i]:bounds[i+1]], rows at axis 0; empty ones are 0."""
     total = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+def scored(rows: DataFrame, score, kinds: dict[str, str], keep_text: bool, constant: dict | None = None) -> DataFrame:
+    """(row, [text,] *kinds): `row` holds the other columns of rows, so no name can clash. score: a function from an Arrow array of texts to the arrays of kinds."""
+    inner = rows.select(F.struct(F.lit(1).alias("_"), *(F.col(f"`{c}`") for c in rows.columns if c != "text")).alias("row"), "text")
+    kept = ["row", "text"] if keep_text else ["row"]
+    if score is None:
+        return inner.select(*kept, *(c.alias(k) for k, c in constant.items()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *score(batch.column("text"))], names=[*kept, *kinds])
+
+    schema = inner.select(*kept).schema
+    for k, kind in kinds.items():
+        schema = schema.add(k, kind)
+    return inner.mapInArrow(run, schema)
+
+
+def row_columns(rows: DataFrame) -> list:
+    """The columns of rows, from the result of scored() with its text."""
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in rows.columns]
+
+
+def deal(spark: SparkSession, keyed: DataFrame, id_column: str, block: int) -> DataFrame:
+    """Rows of keyed (with a `bucket`) by group: gid, side. A bucket of at most `block` rows is one group, of side 0.
+
+    A larger one is cut at random into parts of about `block` rows, and each pair of parts is a group, of sides 0 and
+    1; so no task holds a hot bucket, and each pair of its rows meets in one group at least.
+    """
+    sized = save(spark, keyed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).alias("parts")), "hot-buckets")
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = keyed.join(small(sized), "bucket", "left").withColumn("part", F.pmod(F.xxhash64(id_column, F.lit(7)), parts))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.struct(F.least(j, "part").alias("a"), F.greatest(j, "part").alias("b")))
+    return dealt.withColumn("pair", F.explode(pairs)).withColumn("gid", F.xxhash64("bucket", "pair.a", "pair.b")).withColumn("side", (F.col("part") > F.col("pair.a")).cast("int")).drop("bucket", "parts", "part", "pair")
+
+
+def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n indices reaches."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, left, label[right])
+        np.minimum.at(new, right, label[left])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new

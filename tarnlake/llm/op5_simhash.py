@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, many_groups, save, slices, small, table
+from .common import by_group, deal, forest, many_groups, save, slices, table
 from .components import components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -106,19 +106,6 @@ def within(query: np.ndarray, sliced: np.ndarray, at: np.ndarray, valid: np.ndar
     return cells[rows], lanes
 
 
-def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n indices reaches."""
-    label = np.arange(n)
-    while True:
-        new = label.copy()
-        np.minimum.at(new, left, label[right])
-        np.minimum.at(new, right, label[left])
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def linked(fps: np.ndarray, gid: np.ndarray, side: np.ndarray, radius: int, cells_at_once: int = 1 << 17) -> np.ndarray:
     """The smallest index that each fingerprint reaches inside its group. Rows come by group, side and fingerprint."""
     n = len(fps)
@@ -181,12 +168,7 @@ def near(spark: SparkSession, fps: DataFrame, radius: int = 4, block: int = 512)
     masks = tables(nodes.count(), radius)
     keys = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("key")) for t, m in enumerate(masks))))
     keyed = nodes.select("fp", keys.alias("k")).select("fp", F.xxhash64("k.t", "k.key").alias("bucket"))
-    counts = keyed.groupBy("bucket").count().where("count > 1")
-    sized = save(spark, counts.select("bucket", F.ceil(F.col("count") / block).alias("parts")), "buckets")
-    hot = sized.where("parts > 1")
-    dealt = keyed.join(small(hot), "bucket", "left").withColumn("part", F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("parts", F.lit(1))))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1), lambda j: F.struct(F.least(j, "part").alias("a"), F.greatest(j, "part").alias("b"))))
-    rows = dealt.select("fp", "bucket", "part", pairs.alias("p")).select("fp", F.xxhash64("bucket", "p.a", "p.b").alias("gid"), (F.col("part") > F.col("p.a")).cast("int").alias("side"))
+    rows = deal(spark, keyed, "fp", block)
     links = by_group(rows, "gid", "side", "fp").mapInArrow(linker(radius), "child long, parent long")
     return components(spark, links)
 

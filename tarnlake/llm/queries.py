@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from .op1_packing import op1_packing
 from .op5_simhash import op5_simhash
+from .op7_toxicity import op7_toxicity
+from .op8_html import op8_html
+from .op9_embeddings import op9_embeddings
+from .op10_language_id import op10_language_id
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_simhash)}
+QUERIES = {f.__name__: f for f in (op1_packing, op5_simhash, op7_toxicity, op8_html, op9_embeddings, op10_language_id)}
 ORACLE_SQL: dict[str, str] = {}
