@@ -39,6 +39,9 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep = Tokenizer.from_file(path), keep
+        words = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(words.values()) + 1, bool)
+        self.ends_word[[i for w, i in words.items() if w.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -46,13 +49,27 @@ class Ids:
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.pool, self.used = np.zeros(1 << 18, np.uint32), 0
 
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids and their number for words of letters only, many to a line: each such word ends with the one id that ends words."""
+        found = self.tokenizer.encode_batch_fast([" ".join(words[a : a + 512]) for a in range(0, len(words), 512)], add_special_tokens=False)
+        flat = np.array([i for x in found for i in x.ids], np.uint32)
+        ends = np.flatnonzero(self.ends_word[flat]) + 1
+        return (flat, np.diff(ends, prepend=0)) if len(ends) == len(words) and ends[-1] == len(flat) else None
+
     def _add(self, chunks: list[str]) -> None:
+        """Tokenise and keep new chunks."""
+        words = [c for c in chunks if c.isalpha()]
+        if words and (found := self._lines(words)):
+            self._keep(words, *found)
+            chunks = [c for c in chunks if not c.isalpha()]
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(chunks))
+        self._keep(chunks, np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum())), lengths)
+
+    def _keep(self, chunks: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         n, m = len(self.at), len(chunks)
         if n + m > len(self.starts):
             self.starts, self.lengths = (np.concatenate([x, np.zeros(max(m, len(x)), np.int64)]) for x in (self.starts, self.lengths))
-        lengths = np.fromiter(map(len, found), np.int64, m)
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(lengths.sum()))
         if self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(flat), len(self.pool)), np.uint32)])
         self.pool[self.used : self.used + len(flat)] = flat
@@ -62,7 +79,9 @@ class Ids:
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each begins."""
-        parts = pc.ascii_split_whitespace(texts)
+        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # special tokens are lower case; all else the tokenizer lower-cases itself
+            texts = pc.ascii_lower(texts)
+        parts = pc.ascii_split_whitespace(pc.replace_substring_regex(texts, r"([a-z])([.,!?;:])", r"\1 \2"))  # it cuts there too
         coded = parts.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.at) + len(words) > self.keep:
