@@ -1,0 +1,79 @@
+"""Collections kept as Parquet in one folder, with a catalog row each: save, open, back up and restore, all by Spark, so any file system that it reads will do."""
+
+from __future__ import annotations
+
+import json
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+VERSION = 1
+
+
+class Folder:
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _there(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+
+    def catalog(self) -> dict:
+        """Names of collections with their newest data folder and indexed fields."""
+        if not self._there(f"{self.path}/catalog"):
+            return {}
+        newest = self.spark.read.text(f"{self.path}/catalog", wholetext=True).select(F.max_by("value", F.get_json_object("value", "$.number").cast("long"))).first()[0]
+        found = json.loads(newest)
+        if found["version"] != VERSION:
+            raise ValueError(f"format version {found['version']} is not supported; {VERSION} is")
+        return found
+
+    def _commit(self, found: dict) -> None:
+        """A new catalog file: readers see the old or the new state."""
+        found = {"version": VERSION, "collections": {}} | found
+        found["number"] = found.get("number", 0) + 1
+        self.spark.createDataFrame([(json.dumps(found),)], "value string").coalesce(1).write.mode("append").text(f"{self.path}/catalog")
+
+    def save(self, name: str, rows: DataFrame, indexes: list[list[str]] | None = None) -> None:
+        """Replace a collection. Its first index orders the files, so that scans by its fields skip what they can."""
+        found = self.catalog()
+        data = f"data/{name}-{found.get('number', 0) + 1}"
+        ordered = rows.repartitionByRange(*indexes[0]).sortWithinPartitions(*indexes[0]) if indexes else rows
+        ordered.write.mode("overwrite").parquet(f"{self.path}/{data}")
+        found.setdefault("collections", {})[name] = {"data": data, "indexes": indexes or []}
+        self._commit(found)
+
+    def open(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self.catalog()['collections'][name]['data']}")
+
+    def drop_index(self, name: str, fields: list[str]) -> None:
+        found = self.catalog()
+        of = found["collections"][name]
+        of["indexes"] = [x for x in of["indexes"] if x != fields]
+        self._commit(found)
+
+    def copy(self, target: str) -> None:
+        """A backup, or with the roles changed a restore; the target must not exist."""
+        if self._there(target):
+            raise ValueError("the target exists")
+        other = Folder(self.spark, target)
+        for name, of in self.catalog().get("collections", {}).items():
+            other.save(name, self.open(name), of["indexes"])
+
+    def collect_garbage(self) -> int:
+        """Delete data folders that the catalog no longer names."""
+        Path = self.spark._jvm.org.apache.hadoop.fs.Path
+        data = Path(f"{self.path}/data")
+        fs = data.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        live = {of["data"].split("/")[1] for of in self.catalog().get("collections", {}).values()}
+        old = [s.getPath() for s in fs.listStatus(data) if s.getPath().getName() not in live]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
+
+    def inspect(self) -> DataFrame:
+        """(collection, files, rows) of all collections."""
+        out = self.spark.createDataFrame([], "collection string, files long, rows long")
+        for name in self.catalog().get("collections", {}):
+            out = out.unionByName(self.open(name).agg(F.count_distinct(F.input_file_name()).alias("files"), F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("collection"), "files", "rows"))
+        return out
