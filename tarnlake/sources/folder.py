@@ -75,5 +75,5 @@ class Folder:
         """(collection, files, rows) of all collections."""
         out = self.spark.createDataFrame([], "collection string, files long, rows long")
         for name in self.catalog().get("collections", {}):
-            out = out.unionByName(self.open(name).agg(F.count_distinct(F.input_file_name()).alias("files"), F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("collection"), "files", "rows"))
+            out = out.unionByName(self.open(name).select(F.input_file_name().alias("file")).agg(F.count_distinct("file").alias("files"), F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("collection"), "files", "rows"))
         return out
