@@ -188,7 +188,7 @@ def classes(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int =
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Of each group of near copies the document with the smallest id, with the columns of docs. Rows that share it are one row; rows without an id stay."""
     kept = classes(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id").cast("long") == F.col("kept_id"), "left_semi")
+    named = docs.where("doc_id is not null").join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
 
 

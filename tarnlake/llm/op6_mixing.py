@@ -82,23 +82,23 @@ def leaves(spark: SparkSession, docs: DataFrame, domain: Column, budget: float,
 
 
 def mix(spark: SparkSession, docs: DataFrame, domain: Column | None = None, budget: float = 0.6, domains: dict | None = None, languages: dict | None = None, sources: dict | None = None, max_epochs: int = 2, seed: int = 17) -> DataFrame:
-    """docs with `_domain`, `_epoch`: a row for each epoch in which a document is read. budget: tokens to take, as a share of all."""
+    """(row, domain, epoch): `row` holds the columns of docs, so no name can clash; a row for each epoch in which a document is read. budget: tokens to take, as a share of all."""
     domain = by_number(F.col("source")) if domain is None else domain
     leaf = leaves(spark, docs, domain, budget, domains or DOMAINS, languages or LANGUAGES, sources or {}, max_epochs, seed)
-    named = docs.select("*", domain.alias("_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("_lang"), F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("_source"))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", domain.alias("_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("_lang"), F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("_source"))
     read = named.join(small(leaf.select(*LEAF, F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))), LEAF)
     times = F.col("_epochs") + (key(seed, F.col("_epochs") + 1) <= F.col("_last")).cast("long")
-    return read.withColumn("_times", times).where("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).select(*docs.columns, "_domain", "_epoch")
+    return read.withColumn("_times", times).where("_times > 0").select("row", F.col("_domain").alias("domain"), F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("epoch"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents of one epoch at most, with the columns of docs."""
-    return mix(spark, docs, max_epochs=1).select(*docs.columns)
+    return mix(spark, docs, max_epochs=1).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(spark, docs).select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_epoch").alias("epoch"))
+    return mix(spark, docs).select("row.doc_id", "domain", "row.lang", "row.source", "epoch")
 
 
 def _case(c: str, given: dict[str, float]) -> str:

@@ -172,9 +172,11 @@ def test_mixing_fills_budgets(spark, odd):
     again = op6_mixing.op6_mixing(spark, DIR).collect()
     assert sorted(map(tuple, again)) == sorted(want)
     tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    total, taken = sum(tokens(r.text) for r in docs.collect()), sum(tokens(r.text) for r in got.collect())
+    total, taken = sum(tokens(r.text) for r in docs.collect()), sum(tokens(r["row"].text) for r in got.collect())
     assert 0 < taken <= 0.5 * total + 1  # a prefix ends before the document that would pass the share
-    assert op6_mixing.mixed(spark, odd).columns == odd.columns
+    clash = odd.withColumn("_domain", F.lit(1)).withColumn("epoch", F.lit(2)).withColumn("kept_id", F.lit(3))
+    assert op6_mixing.mixed(spark, clash).columns == clash.columns
+    assert op5_simhash.keep_one(spark, clash).columns == clash.columns
     assert op6_mixing.mix(spark, odd.limit(0)).count() == 0
 
 
