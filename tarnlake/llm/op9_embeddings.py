@@ -5,8 +5,10 @@ at most `sample` vectors, chosen by a seeded hash of the id; every vector gets a
 `bits` bits; vectors that share a label and a table's bits are candidates, and their cosine is computed in double
 precision from the original vectors. A pair belongs to the first table in which it agrees, so that it is counted once
 without listing pairs: a group returns counts and a spanning forest. Equal vectors are one class with a weight. A hot
-bucket is compared by pairs of blocks (see common.deal). With 8 tables of 8 bits a pair at cosine 0.93 is found with a
-probability of about 0.97, one at 0.98 with 0.999; more tables of more bits keep buckets small for larger inputs.
+bucket is compared by pairs of blocks (see common.deal). The bits of a table follow the size of the largest label, so
+that a bucket holds about `block` vectors that agree by chance, and the number of tables follows the bits, so that a pair
+at the least cosine is found with a probability of `recall` at every size: 8 tables of 8 bits up to 65,536 vectors of a
+label, 26 of 16 bits up to 16.7 million, 74 of 24 bits beyond that.
 
 Vectors that are null, empty, zero or hold a null or non-finite component, and rows with a null label, link with
 nothing; vectors of different lengths never link. Rows that repeat count each. An empty table gives an empty result.
@@ -14,6 +16,7 @@ nothing; vectors of different lengths never link. Rows that repeat count each. A
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +28,18 @@ from .common import by_group, deal, forest, groups, save, table
 from .components import components
 
 
+def shape(n: int, least: float, recall: float, block: int) -> tuple[int, int]:
+    """Bytes of a table's key and number of tables for n vectors that may be compared with each other.
+
+    Two vectors at cosine c differ in a bit with a probability of about acos(c) / pi.
+    """
+    width = 1
+    while width < 4 and n > block << 8 * width:
+        width += 1
+    agree = (1 - math.acos(least) / math.pi) ** (8 * width)
+    return width, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree))) if agree < 1 else 1
+
+
 def learn(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection of unit vectors x; as many rotations side by side as the bits need."""
     mean = x.mean(axis=0)
@@ -111,13 +126,15 @@ def comparer(kind: str, least: float, width: int):
     return run
 
 
-def near(spark: SparkSession, vectors: DataFrame, least: float = 0.93, bits: int = 64, width: int = 1, sample: int = 10_000, block: int = 256, seed: int = 2) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label). width: bytes of a table's key."""
+def near(spark: SparkSession, vectors: DataFrame, least: float = 0.93, recall: float = 0.97, tables: tuple[int, int] | None = None, sample: int = 10_000, block: int = 256, seed: int = 2) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label). tables: bytes of a key and number of tables, if shape() shall not choose."""
     kind = "<f4" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "<f8"
     v = F.transform("embedding", lambda e: e.cast("float" if kind == "<f4" else "double") + F.lit(0.0).cast("float" if kind == "<f4" else "double"))  # -0.0 becomes 0.0
     usable = F.col("label").isNotNull() & F.coalesce(F.size("embedding") > 0, F.lit(False)) & F.forall("embedding", lambda e: F.coalesce((F.abs(e) < float("inf")) & ~F.isnan(e), F.lit(False))) & F.exists("embedding", lambda e: e != 0)
     rows = vectors.select(F.col("vec_id").cast("long"), "label", F.when(usable, v).alias("v")).select("*", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v")).alias("h1"), F.xxhash64(F.lit(seed), "v", "label").alias("h2"))
     classes = save(spark, rows.where("v is not null").groupBy("h1", "h2", "label").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("weight"), F.min("vec_id").alias("first")).withColumn("cid", F.xxhash64("h1", "h2")), "vectors")
+    width, number = tables or shape(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0, least, recall, block)
+    bits = 8 * width * number
     chosen = classes.orderBy(F.xxhash64("cid", F.lit(seed))).select("v").limit(sample).toPandas()
     by_size: dict[int, list] = {}
     for x in chosen.v if len(chosen) else []:

@@ -236,9 +236,18 @@ def test_embedding_links_match_brute_force(spark):
         got = op9_embeddings.near(spark, df, block=block).collect()
         assert len(got) == len(rows) and all(r.n_links == want.get(r.vec_id, 0) for r in got)
     assert {r.vec_id: r.component_id for r in got}[504] == 0
+    wide = op9_embeddings.near(spark, df, tables=(2, 26)).collect()  # the shape of larger inputs
+    assert all(r.n_links <= want.get(r.vec_id, 0) for r in wide) and sum(r.n_links for r in wide) >= 0.95 * sum(r.n_links for r in got)
     assert op9_embeddings.near(spark, df.limit(0)).count() == 0
 
 
+def test_tables_follow_the_size_of_a_label():
+    shapes = [op9_embeddings.shape(n, 0.93, 0.97, 256) for n in (0, 1 << 16, 1 << 17, 1 << 24, 1 << 25)]
+    assert shapes == [(1, 8), (1, 8), (2, 26), (2, 26), (3, 74)]
+    agree = lambda width: (1 - np.arccos(0.93) / np.pi) ** (8 * width)
+    assert all(1 - (1 - agree(w)) ** k >= 0.97 for w, k in shapes)
+
+
 def test_language_model_sums_all_segmentations():
     keys = np.unique(op10_language_id.hashes(np.array([[ord(c)] for c in "ab▁"], np.uint32)).tolist() + op10_language_id.hashes(np.array([[ord("a"), ord("b")]], np.uint32)).tolist()).astype(np.uint64)
     at = {s: int(np.searchsorted(keys, op10_language_id.hashes(np.array([[ord(c) for c in s]], np.uint32))[0])) for s in ("a", "b", "▁", "ab")}
