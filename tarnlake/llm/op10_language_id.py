@@ -3,7 +3,7 @@
 Each language has a probability for every piece. A word's probability in a language is the sum over all its
 segmentations into pieces, computed by a forward algorithm for all words of a batch at once; a text's is the product
 over its words. The piece probabilities are learned by expectation maximisation (forward-backward) from the words of
-at most `sample` labelled documents, chosen by a seeded hash of the id; whole texts are read, in learning and in scoring.
+at most `sample` labelled ids, the first by a seeded hash of the id; whole texts are read, in learning and in scoring.
 
 Words are lower-cased runs of letters with a word-begin mark in front; a word of over 64 letters is scored in runs of
 64. A letter outside the vocabulary has one small fixed probability, the same in all languages. Null texts and texts
@@ -180,10 +180,9 @@ def expecter(shared, names: list[str]):
 def fit(spark: SparkSession, docs: DataFrame, path: str, learn_from, sample: int = 4000, rounds: int = 3, smooth: float = 0.05, seed: int = 5) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, piece numbers and probabilities. What reaches the driver is bounded by pieces times languages."""
     keys = vocabulary(path)
-    labelled = docs.where(learn_from & F.col("lang").isNotNull())
-    n = labelled.count()
-    share = min(1.0, 1.1 * sample / max(1, n))
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(sample)
+    ids = docs.where(learn_from & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("label_id")).distinct()
+    chosen = ids.orderBy(F.xxhash64("label_id", F.lit(seed)), "label_id").limit(sample)
+    chosen = docs.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left_semi")
     words = save(spark, chosen.select("lang", "text").mapInArrow(sample_words, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(24), "language-words")
     names = sorted(r[0] for r in words.select("lang").distinct().collect())
     p = np.full((len(keys) + 2, len(names)), 1.0 / len(keys))
