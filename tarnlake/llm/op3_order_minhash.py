@@ -67,7 +67,16 @@ def likeness(a: str, b: str) -> Column:
     return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(F.col(a), F.col(b))) / either)
 
 
-def fingerprints(spark: SparkSession, docs: DataFrame, per_range: int = 1000, most: int = 2000) -> DataFrame:
+def number_of_range(x: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most x: first among every so many of them, then among those between."""
+    step = max(1, int(len(bounds) ** 0.5))
+    array = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    until = lambda xs: F.size(F.filter(xs, lambda b: b <= x))
+    whole = until(array(bounds[step - 1 :: step])) * step
+    return whole + until(F.slice(array(bounds), whole + 1, step))
+
+
+def fingerprints(spark: SparkSession, docs: DataFrame, per_range: int = 1000, most: int = 50_000) -> DataFrame:
     """The fingerprint of each text and of its text edited with the next document's head.
 
     Ids are cut into ranges of about per_range documents; a range is a window, and what its last row needs from the
@@ -76,10 +85,8 @@ def fingerprints(spark: SparkSession, docs: DataFrame, per_range: int = 1000, mo
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     n = docs.count()
     parts = max(1, min(most, n // per_range))
-    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] if n else None
-    bounds = sorted(set(bounds or []))
-    lower = F.array(*(F.lit(b) for b in bounds)).cast("array<bigint>")
-    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.size(F.filter(lower, lambda b: b <= F.col("doc_id")))))
+    bounds = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 5 * parts))).first()[0] if n else None
+    ranged = docs.withColumn("range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(number_of_range(F.col("doc_id"), sorted(set(bounds or [])))))
     tops = F.broadcast(ranged.groupBy("range").agg(F.max("doc_id").alias("top")))  # at most `most` + 2 rows
     heads = ranged.join(tops, "range").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("range").agg(F.min("text").alias("head"))
     heads = save(spark, sketched(heads, "head", "head_sketch"), "range-heads")

@@ -96,6 +96,14 @@ def test_order_minhash(spark, odd):
     assert op3_order_minhash.fingerprints(spark, odd.limit(0)).count() == 0
 
 
+def test_ranges_are_counted_right(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 2, 10, 300):
+        bounds = sorted(rng.sample(range(-500, 500), n))
+        got = spark.range(-510, 510, 7).select("id", op3_order_minhash.number_of_range(F.col("id"), bounds).alias("k")).collect()
+        assert all(r.k == sum(b <= r.id for b in bounds) for r in got)
+
+
 def test_order_and_occurrence_change_the_fingerprint(spark):
     a, b = [f"w{i}" for i in range(200)], [f"v{i}" for i in range(200)]
     df = spark.createDataFrame([(1, " ".join(a + b)), (2, " ".join(b + a)), (3, " ".join(a + b + a))], "doc_id long, text string")
