@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from .. import ship
 
+#: Temporary folders of sessions without spark.checkpoint.dir, which can't be set on a running session.
+_local: dict[str, str] = {}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -23,10 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a temporary one only where none is set (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tarnlake-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="tarnlake-")
+    return _local[app]
 
 
 def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
