@@ -22,16 +22,16 @@ def wrapped(a: Column, b: Column) -> Column:
     return (wide - F.lit("9223372036854775808").cast("decimal(38,0)")).cast("long")
 
 
-def compare_and_set(base: DataFrame, wanted: DataFrame, key: str, holds: Column, patches: dict[str, Column], absent_ok: bool = False) -> tuple[DataFrame, DataFrame]:
+def compare_and_set(base: DataFrame, wanted: DataFrame, key: str, holds: Column, patches: dict[str, Column], absent_ok: bool = False, mismatch: str = "ExpectedFieldMismatch") -> tuple[DataFrame, DataFrame]:
     """Base after the update, and the conflicts (key, reason).
 
     wanted: a row for each key to update, with what `holds` and `patches` refer to. A patch that is a null column
-    removes the field. Keys that base lacks are conflicts unless absent_ok.
+    removes the field. Keys that base lacks are conflicts unless absent_ok; mismatch is the reason given for others.
     """
     mark = wanted.withColumn("_wanted", F.lit(True))
     joined = base.withColumn("_there", F.lit(True)).join(mark, key, "full")
     ok = F.col("_wanted") & F.when(F.col("_there"), F.coalesce(holds, F.lit(False))).otherwise(F.lit(absent_ok))
     joined = joined.withColumn("_ok", F.coalesce(ok, F.lit(False)))
     after = joined.where("_there or _ok").select(key, *(F.when(F.col("_ok"), patches[c]).otherwise(F.col(c)).alias(c) if c in patches else F.col(c) for c in base.columns if c != key))
-    conflicts = joined.where("_wanted and not _ok").select(key, F.when(F.col("_there"), "FieldMismatch").otherwise("Missing").alias("reason"))
+    conflicts = joined.where("_wanted and not _ok").select(key, F.when(F.col("_there"), mismatch).otherwise("Missing").alias("reason"))
     return after, conflicts

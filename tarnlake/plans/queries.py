@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import values
 from ..functions.predicates import between, eq, ge, gt, is_not_null, is_null, isin, le, lt, ne
 from ..operators import log, mutations
+from . import stored
 from .collection import Collection, assembled, dynamic_rows, union_ids
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(stored.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(stored.ORACLE_SQL)
 ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 ROW = "o_orderkey, o_totalprice, o_orderstatus"
 
@@ -309,7 +310,7 @@ def cas_patch_increment_remove(spark, sf_dir):
     return cas(spark, sf_dir)[0]
 
 
-@query("select o_orderkey + case when o_orderkey % 2 = 0 then 0 else 100000000 end as o_orderkey, case when o_orderkey % 2 = 0 then 'FieldMismatch' else 'Missing' end as reason from orders where o_orderkey % 5 = 0 and (o_orderkey % 2 = 1 or o_orderstatus <> 'O')")
+@query("select o_orderkey + case when o_orderkey % 2 = 0 then 0 else 100000000 end as o_orderkey, case when o_orderkey % 2 = 0 then 'ExpectedFieldMismatch' else 'Missing' end as reason from orders where o_orderkey % 5 = 0 and (o_orderkey % 2 = 1 or o_orderstatus <> 'O')")
 def cas_conflicts(spark, sf_dir):
     return cas(spark, sf_dir)[1]
 
