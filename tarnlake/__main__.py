@@ -1,0 +1,38 @@
+"""python -m tarnlake inspect|gc|backup|restore --dir FOLDER [TARGET]: the care of a folder of collections. Exit codes: 0, 1 if it fails, 2 for wrong arguments."""
+
+import argparse
+import sys
+
+from pyspark.errors import PySparkException
+from pyspark.sql import SparkSession
+
+from tarnlake.sources.folder import Folder
+
+
+def main(arguments: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    parser = argparse.ArgumentParser(prog="tarnlake")
+    parser.add_argument("command", choices=["inspect", "gc", "backup", "restore"])
+    parser.add_argument("target", nargs="?")
+    parser.add_argument("--dir", default=".")
+    given = parser.parse_args(arguments)
+    if given.command in ("backup", "restore") and not given.target:
+        parser.error("backup and restore take a second folder")
+    spark = spark or SparkSession.builder.appName("tarnlake").getOrCreate()
+    folder = Folder(spark, given.dir)
+    try:
+        if given.command == "inspect":
+            folder.inspect().show(1000, truncate=False)
+        elif given.command == "gc":
+            print(f"gc: removed {folder.collect_garbage()} data folders")
+        elif given.command == "backup":
+            folder.copy(given.target)
+        else:
+            Folder(spark, given.target).copy(given.dir)
+    except (ValueError, PySparkException) as e:
+        print(e, file=sys.stderr)
+        return 1
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

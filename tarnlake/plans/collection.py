@@ -118,6 +118,13 @@ class Query:
             return out.select(self.of.id.alias("id"), F.map_filter(self.of.fields, lambda k, _: k.isin(wanted)).alias(self.of.fields))
         return out.select(self.of.id.alias("id"), *(F.col(f"`{n}`") for n in self.projection if n in out.columns))
 
+    def entries(self) -> DataFrame:
+        """(id, entries): the projected fields of dynamic rows as an array, in the order asked for and as often as asked for; absent ones are left out."""
+        if not self.projection or not self.of.fields or self.aggregation:
+            raise InvalidArgument("entries are the projected fields of dynamic rows")
+        asked = F.array(*(F.struct(F.lit(n).alias("field"), F.col(self.of.fields)[n].alias("value")) for n in self.projection))
+        return self.selected().select(self.of.id.alias("id"), F.filter(asked, lambda e: e["value"].isNotNull()).alias("entries"))
+
     def result(self) -> DataFrame:
         """One row with `result`. Rows beyond an offset are not skipped, but the limit grows by it."""
         if self.projection is not None:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import gt
-from ..operators import log, mutations
+from ..functions import values
+from ..operators import log, mutations, patches
+from ..sources.changes import ChangeLog
 from ..sources.folder import Folder
 from ..streaming import upsert
-from .collection import Collection
+from .collection import Collection, dynamic_rows
 
 KEYS = ("user_id", "event_id", "deleted")
 KEPT = ("event_type", "value")
@@ -109,9 +111,90 @@ def group_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.max("o_custkey").alias("highest"))
 
 
+def tx_commit_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log after three transactions: all orders; changes to every seventh and deletes of every eleventh; deletes of all, aborted."""
+    rows = orders(spark, sf_dir)
+    kept = ChangeLog(spark, scratch(spark, "log"), "o_orderkey", "o_orderkey long, o_custkey long, o_orderstatus string")
+    with kept.transaction() as tx:
+        tx.put(rows)
+    with kept.transaction() as tx:
+        tx.put(rows.where("o_orderkey % 7 = 0").drop("o_custkey"))
+        tx.delete(rows.where("o_orderkey % 11 = 0"))
+    lost = kept.transaction()
+    lost.delete(rows)
+    lost.abort()
+    return kept.state()
+
+
+def log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log with a transaction that was never committed, compacted."""
+    rows = orders(spark, sf_dir)
+    kept = ChangeLog(spark, scratch(spark, "log"), "o_orderkey", "o_orderkey long, o_custkey long, o_orderstatus string")
+    with kept.transaction() as tx:
+        tx.put(rows)
+        tx.delete(rows.where("o_orderstatus = 'P'"))
+    kept.transaction().put(rows)
+    return kept.compact(scratch(spark, "log")).state()
+
+
+def documents_of(rows: DataFrame) -> DataFrame:
+    """Orders as dynamic rows; finished ones have no status."""
+    rows = rows.withColumn("o_orderstatus", F.nullif("o_orderstatus", F.lit("F")))
+    return dynamic_rows(rows, F.col("o_orderkey").cast("string"), ["o_custkey", "o_orderstatus"])
+
+
+def patched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every third order (and one key in it that is not there): if its status is open, add to the customer, remove the status, set a note."""
+    base = documents_of(orders(spark, sf_dir))
+    ids = base.where("cast(id as long) % 3 = 0").select("id").unionByName(spark.createDataFrame([("none",)], "id string"))
+    steps = [patches.add_to_field("o_custkey", 2**63 - 1), patches.drop_field("o_orderstatus"), patches.put_field("note", "late"), patches.put_field("note", "seen")]
+    return patches.update(base, ids, "id", patches.same(F.col("fields")["o_orderstatus"], values.literal("O")), steps)
+
+
+def patch_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("fields")
+    return patched(spark, sf_dir)[0].select("id", f["o_custkey"]["i"].alias("o_custkey"), f["o_orderstatus"]["s"].alias("o_orderstatus"), f["note"]["s"].alias("note"), F.size("fields").alias("n"))
+
+
+def patch_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return patched(spark, sf_dir)[1]
+
+
+def patch_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An increment of the status suits no order."""
+    base = documents_of(orders(spark, sf_dir))
+    return patches.update(base, base.select("id"), "id", F.lit(True), [patches.put_field("note", 1), patches.add_to_field("o_orderstatus", 1)])[1]
+
+
+def cas_whole_dynamic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates that expect whole dynamic rows, those of every fourth key without the status; what is refused."""
+    base = documents_of(orders(spark, sf_dir))
+    stale = F.col("id").cast("long") % 4 == 0
+    expected = base.select("id", F.when(stale, F.map_filter("fields", lambda k, _: k != "o_orderstatus")).otherwise(F.col("fields")).alias("seen"))
+    return patches.update(base, expected, "id", patches.same_fields(F.col("fields"), F.col("seen")), [patches.put_field("note", "x")], mismatch="ExpectedValueMismatch")[1]
+
+
+def project_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields in the order asked for, one of them twice, absent ones left out."""
+    of = Collection(documents_of(orders(spark, sf_dir)), F.col("id"), fields="fields")
+    out = of.query().project("o_orderstatus", "none", "o_custkey", "o_orderstatus").entries()
+    return out.select("id", F.array_join(F.transform("entries", lambda e: F.concat(e["field"], F.lit("="), F.coalesce(e["value"]["s"], e["value"]["i"].cast("string")))), " ").alias("line"))
+
+
+def index_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection given an index of two fields, which orders its files, asked for a range of them."""
+    kept = Folder(spark, scratch(spark, "folder"))
+    kept.save("orders", orders(spark, sf_dir))
+    kept.create_index("orders", ["o_orderstatus", "o_custkey"])
+    kept.create_index("orders", ["o_custkey"])
+    kept.drop_index("orders", ["o_custkey"])
+    of = Collection(kept.open("orders"), F.col("o_orderkey").cast("string"))
+    return of.find_composite([("o_orderstatus", "P", "P"), ("o_custkey", 50, 900)])
+
+
 KEY = "o_orderkey + case when o_orderkey % 2 = 0 then 0 else 100000000 end"
 ADDED = f"select {KEY} as o_orderkey, null::bigint as o_custkey, 'X' as o_orderstatus from orders where o_orderkey % 5 = 0 and o_orderkey % 2 = 1"
-QUERIES = {f.__name__: f for f in (stream_upsert, compact_full, folder_restore, fetch, cas_any, cas_absent, cas_absent_conflicts, cas_entity, tx_aggregate, group_by_status)}
+QUERIES = {f.__name__: f for f in (stream_upsert, compact_full, folder_restore, fetch, cas_any, cas_absent, cas_absent_conflicts, cas_entity, tx_aggregate, group_by_status, tx_commit_abort, log_compact, patch_steps, patch_conflicts, patch_invalid, cas_whole_dynamic, project_entries, index_rebuilt)}
 ORACLE_SQL = {
     "stream_upsert": LIVE,
     "compact_full": LIVE,
@@ -122,5 +205,13 @@ ORACLE_SQL = {
     "cas_absent_conflicts": "select o_orderkey, 'ExpectedAbsentButExists' as reason from orders where o_orderkey % 10 = 0",
     "cas_entity": "select o_orderkey, 'ExpectedValueMismatch' as reason from orders where o_orderkey % 15 = 0",
     "tx_aggregate": "select sum(case when o_orderkey % 7 = 0 then 1 else o_custkey end)::bigint as result from orders where o_orderkey % 11 <> 0 and (o_orderkey % 7 = 0 or o_custkey > 0)",
+    "tx_commit_abort": "select o_orderkey, case when o_orderkey % 7 <> 0 then o_custkey end as o_custkey, o_orderstatus from orders where o_orderkey % 11 <> 0",
+    "log_compact": "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus <> 'P'",
+    "patch_steps": "select o_orderkey::varchar as id, (case when not hit then o_custkey when o_custkey = 0 then 9223372036854775807 else -9223372036854775808::hugeint + o_custkey - 1 end)::bigint as o_custkey, case when not hit then nullif(o_orderstatus, 'F') end as o_orderstatus, case when hit then 'seen' end as note, (case when hit or o_orderstatus <> 'F' then 2 else 1 end)::int as n from (select *, o_orderkey % 3 = 0 and o_orderstatus = 'O' as hit from orders)",
+    "patch_conflicts": "select o_orderkey::varchar as id, 'ExpectedFieldMismatch' as reason from orders where o_orderkey % 3 = 0 and o_orderstatus <> 'O' union all select 'none', 'Missing'",
+    "patch_invalid": "select o_orderkey::varchar as id, 'InvalidArgument' as reason from orders",
+    "cas_whole_dynamic": "select o_orderkey::varchar as id, 'ExpectedValueMismatch' as reason from orders where o_orderkey % 4 = 0 and o_orderstatus <> 'F'",
+    "project_entries": "select o_orderkey::varchar as id, case when o_orderstatus = 'F' then 'o_custkey=' || o_custkey else 'o_orderstatus=' || o_orderstatus || ' o_custkey=' || o_custkey || ' o_orderstatus=' || o_orderstatus end as line from orders",
+    "index_rebuilt": "select o_orderkey::varchar as id from orders where o_orderstatus = 'P' and o_custkey between 50 and 900",
     "group_by_status": "select o_orderstatus, count(*) as orders, max(o_custkey) as highest from orders group by o_orderstatus",
 }

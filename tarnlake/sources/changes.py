@@ -1,0 +1,89 @@
+"""A change log kept as Parquet: transactions append rows, and what counts is decided on reading.
+
+Each row has its transaction's number, its step in it, a kind (put, delete or commit), the key and the columns. A
+transaction's rows count once its commit row is there, which is the last one written; so a writer that is lost leaves
+nothing visible. The number of a transaction is above all in the log, committed or not. One writer at a time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..operators import log
+
+
+class ChangeLog:
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: str):
+        self.spark, self.path, self.key = spark, path, key
+        self.columns = T.StructType.fromDDL(schema)
+        self.schema = T.StructType.fromDDL("tx long, step int, kind string")
+        for f in self.columns:
+            self.schema = self.schema.add(f)
+        self.others = [c for c in self.columns.names if c != key]
+        # the log exists from the start, so that readers need no other case
+        self.spark.createDataFrame([], self.schema).write.mode("append").parquet(path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def state(self, own: int | None = None) -> DataFrame:
+        """The live rows; with `own` as that transaction sees them."""
+        rows = self.rows()
+        commits = rows.where("kind = 'commit'").select("tx")
+        if own is not None:
+            commits = commits.unionByName(self.spark.range(own, own + 1).select(F.col("id").alias("tx")))
+        counted = rows.where("kind <> 'commit'").join(commits, "tx", "left_semi")
+        marked = counted.withColumn("_at", F.struct("tx", "step")).withColumn("_deleted", F.col("kind") == "delete")
+        return log.merged(marked, self.key, "_at", "_deleted", *self.others).select(*self.columns.names)
+
+    def transaction(self) -> "Transaction":
+        return Transaction(self, (self.rows().agg(F.max("tx")).first()[0] or 0) + 1)
+
+    def compact(self, target: str) -> "ChangeLog":
+        """A new log with the live rows alone, as one committed transaction in key order."""
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.columns)
+        out = ChangeLog(self.spark, target, self.key, schema)
+        with Transaction(out, self.rows().agg(F.max("tx")).first()[0] or 1) as tx:
+            tx.put(self.state().repartitionByRange(self.key).sortWithinPartitions(self.key))
+        return out
+
+
+class Transaction:
+    """A context manager: commits at its end, or aborts on an error."""
+
+    def __init__(self, of: ChangeLog, number: int):
+        self.of, self.number, self.step, self.active = of, number, 0, True
+
+    def _append(self, kind: str, rows: DataFrame) -> None:
+        if not self.active:
+            raise ValueError("the transaction has ended")
+        self.step += 1
+        named = rows.select(*(F.col(f"`{f.name}`").cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.of.columns))
+        named.select(F.lit(self.number).cast("long").alias("tx"), F.lit(self.step).alias("step"), F.lit(kind).alias("kind"), "*").write.mode("append").parquet(self.of.path)
+
+    def put(self, rows: DataFrame) -> None:
+        """Replace the rows with these keys; columns that rows lack become absent."""
+        self._append("put", rows)
+
+    def delete(self, keys: DataFrame) -> None:
+        self._append("delete", keys.select(self.of.key))
+
+    def view(self) -> DataFrame:
+        """What is committed, with this transaction's own writes."""
+        return self.of.state(self.number)
+
+    def commit(self) -> None:
+        self._append("commit", self.of.spark.range(1).select(F.lit(None).alias(self.of.key)))
+        self.active = False
+
+    def abort(self) -> None:
+        self.active = False
+
+    def __enter__(self) -> "Transaction":
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if self.active:
+            self.abort() if kind else self.commit()

@@ -46,11 +46,25 @@ class Folder:
     def open(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{self.catalog()['collections'][name]['data']}")
 
+    def create_index(self, name: str, fields: list[str]) -> None:
+        """An index of one field or several. The first one orders the files anew; one that is there already is left as it is."""
+        indexes = self.catalog()["collections"][name]["indexes"]
+        if not fields:
+            raise ValueError("an index needs a field")
+        if not indexes:
+            self.save(name, self.open(name), [fields])
+        elif fields not in indexes:
+            found = self.catalog()
+            found["collections"][name]["indexes"].append(fields)
+            self._commit(found)
+
     def drop_index(self, name: str, fields: list[str]) -> None:
+        """Nothing happens if there is no such index."""
         found = self.catalog()
         of = found["collections"][name]
-        of["indexes"] = [x for x in of["indexes"] if x != fields]
-        self._commit(found)
+        if fields in of["indexes"]:
+            of["indexes"].remove(fields)
+            self._commit(found)
 
     def copy(self, target: str) -> None:
         """A backup, or with the roles changed a restore; the target must not exist."""
