@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlake import ship
-from tarnlake.llm import op1_packing, op5_simhash, op6_mixing, op7_toxicity, op10_language_id
+from tarnlake.llm import near_copies, op1_packing, op6_mixing, op7_toxicity, op10_language_id
 from tarnlake.llm.common import shared_dir, table
 
 
@@ -23,9 +23,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: five-word shingles, Jaccard likeness of 0.8 at least."""
     ship(spark)
-    return op5_simhash.keep_one(spark, docs)
+    return near_copies.keep_one(spark, docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

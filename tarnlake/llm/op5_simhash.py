@@ -29,19 +29,27 @@ from .components import components
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
+def shingles(text: str, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each run of so many words; a shorter text is one run, one without words none."""
     from xxhash import xxh64_intdigest
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()  # of bytes: only A-Z change, only ASCII white space splits
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     k = min(words, len(parts)) - 1
     last = len(starts) - k
-    hashes = np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[k:].tolist())), np.uint64, last)
+    return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[k:].tolist())), np.uint64, last)
+
+
+def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
+    hashes = shingles(text, words, seed)
+    last = len(hashes)
+    if not last:
+        return 0
     counts = np.zeros(64, np.int64)
     for a in range(0, last, 1 << 16):
         counts += np.unpackbits(hashes[a : a + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
