@@ -2,9 +2,12 @@
 
 Each page is parsed into a tree of elements; elements that are boilerplate by their tag, role or class are cut. For
 every node the link-adjusted characters per tag are computed; a node's density sum is that of its children. The node
-with the largest sum is the content; the smallest density on its path from body is the threshold that a larger part
-of an enclosing article must reach. The text of all its blocks is returned: white space inside a block becomes one
-space, blocks are joined by a line feed, character references are decoded. Nothing else is dropped, whatever its length.
+with the largest sum is content; the smallest density on its path from body, in the page as it came or without its
+boilerplate, is the threshold. From body down, or from the article or main that holds that node, every node that
+reaches the threshold gives its own node of the largest sum, and all these are kept with the text, headings and plain
+blocks (not mostly links) that stand beside them. White space inside a block becomes one space, blocks are joined by
+a line feed, character references are decoded. A block below the threshold is dropped if it is mostly links or, outside
+an article or main, not plain.
 
 A null or empty page, or one with no text outside boilerplate, gives an empty text. Unclosed and misnested tags are
 repaired as browsers do for paragraphs, lists and tables. Rows that repeat are extracted each.
@@ -34,6 +37,9 @@ CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "
 CUT_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended widget pagination pager toolbar login disclaimer skip".split())
 COMMENT_WORDS = {"comment", "comments", "respond", "replies", "disqus", "discussion"}
 HEADER_CLASSES = {"header", "site-header", "page-header", "top-header", "topbar", "top-bar"}
+TITLES = ("h1", "h2", "header", "hgroup")
+#: Blocks of running text; those that stand beside kept nodes stay even when short.
+PLAIN = set("p pre blockquote ul ol dl table figure h1 h2 h3 h4 h5 h6 header hgroup address".split())
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-hidden|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
@@ -235,32 +241,83 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    todo = [root]
-    while todo:
-        node = todo.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not boilerplate(c)]
-        todo += [c for c in node.children if isinstance(c, Node)]
+    strip(root, lambda c: c.tag in RAW)
     body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
+    least = {x: x.density for x in measure(body)}  # of the page as it came
+    strip(root, boilerplate)
     nodes = measure(body)
     best = max(nodes, key=lambda x: x.total)
     if best.total <= 0:
         best = body
-    path = [best]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
     articles = [x for x in nodes if x.tag in ("article", "main") and x.chars]
-    outer = [x for x in path if x in articles]
-    if outer:  # the whole article that holds it
-        best = next((x for x in reversed(outer) if x.tag == "article"), outer[-1])
+    outer = [x for x in (best, *ancestors(best)) if x in articles]
+    bound = body
+    if outer:
+        bound = next((x for x in reversed(outer) if x.tag == "article"), outer[-1])
     elif inner := [x for x in articles if best is body or best in ancestors(x)]:
         top = max(inner, key=lambda x: x.chars)
         if all(x is top or top in ancestors(x) or x in ancestors(top) for x in inner):
-            best = top
-    else:
-        while best is not body and best.parent.density >= threshold and all(isinstance(c, str) and not c.strip() or c is best or isinstance(c, Node) and c.tag in ("h1", "h2", "header", "hgroup") for c in best.parent.children):
-            best = best.parent
-    return blocks(best)
+            bound = top
+            best = max(in_order(bound), key=lambda x: x.total)
+            if best.total <= 0:
+                best = bound
+    path = [best]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
+    kept = reaching(bound, min(min(x.density, least[x]) for x in path))
+    top = bound
+    if bound is body:
+        top = common(kept)
+        while top is not body and all(isinstance(c, str) and not c.strip() or c is top or isinstance(c, Node) and c.tag in TITLES for c in top.parent.children):
+            top = top.parent
+    prune(top, kept, PLAIN if bound is body else BLOCK)
+    return blocks(top)
+
+
+def strip(root: Node, cut) -> None:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        node.children = [c for c in node.children if isinstance(c, str) or not cut(c)]
+        todo += [c for c in node.children if isinstance(c, Node)]
+
+
+def reaching(bound: Node, threshold: float) -> set[Node]:
+    """From the bound down, in every node that reaches the threshold, the node with the largest density sum."""
+    largest: dict[Node, Node] = {}
+    for node in reversed(in_order(bound)):
+        largest[node] = max((node, *(largest[c] for c in node.children if isinstance(c, Node))), key=lambda x: x.total)
+    kept: set[Node] = set()
+    todo = [bound]
+    while todo:
+        node = todo.pop()
+        if node not in kept and node.chars and node.density >= threshold:
+            kept.add(largest[node] if largest[node].total > 0 else node)
+            if node not in kept:
+                todo += [c for c in node.children if isinstance(c, Node)]
+    return kept or {bound}
+
+
+def common(kept: set[Node]) -> Node:
+    """The lowest node that holds all of them."""
+    first, *rest = kept
+    path = [first, *ancestors(first)]
+    others = [{x, *ancestors(x)} for x in rest]
+    return next(x for x in path if all(x in o for o in others))
+
+
+def prune(top: Node, kept: set[Node], plain: set[str]) -> None:
+    """Of what lies above the kept nodes, leave loose text with its inline elements, and blocks of the plain tags that are not mostly links."""
+    above = {x for k in kept for x in ancestors(k)}
+    todo = [top]
+    while todo:
+        node = todo.pop()
+        if node in kept:
+            continue
+        inline = [c for c in node.children if isinstance(c, Node) and c.tag not in BLOCK]
+        loose = sum(len(c.strip()) for c in node.children if isinstance(c, str)) > sum(c.link_chars for c in inline)
+        node.children = [c for c in node.children if isinstance(c, str) or c in kept or c in above or (c.tag in plain and 2 * c.link_chars <= c.chars if c.tag in BLOCK else c.tag in VOID or loose or not c.link_chars)]
+        todo += [c for c in node.children if isinstance(c, Node) and c in above]
 
 
 def ancestors(node: Node) -> list[Node]:
