@@ -3,7 +3,9 @@
 Each language has a probability for every piece. A word's probability in a language is the sum over all its
 segmentations into pieces, computed by a forward algorithm for all words of a batch at once; a text's is the product
 over its words. The piece probabilities are learned by expectation maximisation (forward-backward) from the words of
-at most `sample` labelled ids, the first by a seeded hash of the id; whole texts are read, in learning and in scoring.
+labelled ids, of each language in the whole labelled table the first by a seeded hash of the id: an equal share of
+`sample`, where small languages leave room for the others, and `least` where languages are many (so at most the larger
+of `sample` and `least` times the languages). Whole texts are read, in learning and in scoring.
 
 Words are lower-cased runs of letters with a word-begin mark in front; a word of over 64 letters is scored in runs of
 64. A letter outside the vocabulary has one small fixed probability, the same in all languages. Null texts and texts
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import letter_words, row_columns, save, scored, segment_sum, slices, table
@@ -177,12 +179,32 @@ def expecter(shared, names: list[str]):
     return run
 
 
-def fit(spark: SparkSession, docs: DataFrame, path: str, learn_from, sample: int = 4000, rounds: int = 3, smooth: float = 0.05, seed: int = 5) -> tuple[list[str], np.ndarray, np.ndarray]:
+def quota(counts: list[int], sample: int, least: int) -> int:
+    """The largest equal share per language with which a sample holds at most so many, and never under `least`."""
+    share, left, rest = 0, sample, sorted(counts)
+    for k, n in enumerate(rest):
+        share = left // (len(rest) - k)
+        if n > share:
+            break
+        left -= n
+        share = n
+    return max(share, least)
+
+
+def fit(spark: SparkSession, docs: DataFrame, path: str, learn_from, sample: int = 4000, rounds: int = 3, smooth: float = 0.05, seed: int = 5, least: int = 200) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, piece numbers and probabilities. What reaches the driver is bounded by pieces times languages."""
     keys = vocabulary(path)
-    ids = docs.where(learn_from & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("label_id")).distinct()
-    chosen = ids.orderBy(F.xxhash64("label_id", F.lit(seed)), "label_id").limit(sample)
-    chosen = docs.where(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"), "left_semi")
+    known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{M}]"))
+    ids = save(spark, known.select(F.col("doc_id").cast("long").alias("label_id"), F.col("lang").cast("string").alias("label_lang")).distinct(), "labelled")
+    counts = {r[0]: r[1] for r in ids.groupBy("label_lang").count().collect()}
+    each = quota(list(counts.values()), sample, least)
+    # a language's first ids by hash lie below this share of the hashes all but surely; the window sees no more than these
+    cut = spark.createDataFrame([(x, int(min(1.0, (2 * each + 200) / n) * ((1 << 31) - 1))) for x, n in counts.items()], "cut_lang string, cut long")
+    order = F.xxhash64("label_id", F.lit(seed))
+    low = ids.join(F.broadcast(cut), F.col("label_lang") == F.col("cut_lang")).withColumn("h", order).where(F.col("h").bitwiseAND((1 << 31) - 1) <= F.col("cut"))
+    first = low.withColumn("place", F.row_number().over(Window.partitionBy("label_lang").orderBy(F.col("h").bitwiseAND((1 << 31) - 1), "h", "label_id")))
+    chosen = save(spark, first.where(F.col("place") <= each).select("label_id", "label_lang"), "learned")
+    chosen = known.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").join(F.broadcast(chosen), (F.col("doc_id") == F.col("label_id")) & (F.col("lang") == F.col("label_lang")), "left_semi")
     words = save(spark, chosen.select("lang", "text").mapInArrow(sample_words, "lang string, word string, n long").where("word <> ''").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(24), "language-words")
     names = sorted(r[0] for r in words.select("lang").distinct().collect())
     p = np.full((len(keys) + 2, len(names)), 1.0 / len(keys))
