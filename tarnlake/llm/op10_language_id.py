@@ -7,8 +7,8 @@ labelled ids, of each language in the whole labelled table the first by a seeded
 `sample`, where small languages leave room for the others, and `least` where languages are many (so at most the larger
 of `sample` and `least` times the languages). Whole texts are read, in learning and in scoring.
 
-Words are lower-cased runs of letters with a word-begin mark in front; a word of over 64 letters is scored in runs of
-64. A letter outside the vocabulary has one small fixed probability, the same in all languages. Null texts and texts
+Words are lower-cased runs of letters with a word-begin mark in front, whole whatever their length; pieces are all
+lower-case ones of letters, up to the vocabulary's longest. A letter outside the vocabulary has one small fixed probability, the same in all languages. Null texts and texts
 without a letter are `und` with score 0. Ties go to the language first in order of name. Without any labelled row all
 documents are `und`. Rows that repeat are scored each; rows with a null doc_id are scored and never learned from.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,53 +29,77 @@ from .common import letter_words, row_columns, save, scored, segment_sum, slices
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-LONGEST = 6
-RUN = 64
 UNKNOWN = 1e-7
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _models: dict[str, "Scorer"] = {}
 
 
+class Pieces(NamedTuple):
+    """Sorted numbers of the pieces and of all their ends; the piece that is each end, or -1; the longest piece's length."""
+
+    keys: np.ndarray
+    tails: np.ndarray
+    of: np.ndarray
+    longest: int
+
+
+def step(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    h = (h ^ codes.astype(np.uint64)) * MULTIPLIER
+    return h ^ h >> np.uint64(29)
+
+
 def hashes(codes: np.ndarray) -> np.ndarray:
-    """Rows of character codes to one number each."""
-    h = np.full(len(codes), np.uint64(codes.shape[1]))
-    for c in codes.T:
-        h = (h ^ c.astype(np.uint64)) * MULTIPLIER
-        h ^= h >> np.uint64(29)
+    """Rows of character codes to one number each, from the last character to the first."""
+    h = np.zeros(len(codes), np.uint64)
+    for c in codes.T[::-1]:
+        h = step(h, c)
     return h
 
 
-def vocabulary(path: str, longest: int = LONGEST) -> np.ndarray:
-    """Sorted numbers of the pieces of at most so many characters."""
+def vocabulary(path: str) -> Pieces:
+    """All lower-case pieces of letters."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    pieces = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
-    by_length: dict[int, list[list[int]]] = {}
-    for p in pieces:
-        if 0 < len(p) <= longest and p == p.lower() and (p.strip(MARK).isalpha() or p == MARK):
-            by_length.setdefault(len(p), []).append([ord(c) for c in p])
-    return np.unique(np.concatenate([hashes(np.array(x, np.uint32)) for x in by_length.values()]))
+    names = {model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    names = {p for p in names if p and p == p.lower() and (p.strip(MARK).isalpha() or p == MARK)}
+    number = lambda found: np.unique(np.fromiter((hashes(np.array([[ord(c) for c in x]], np.uint32))[0] for x in found), np.uint64, len(found)))
+    keys, tails = number(names), number({p[-k:] for p in names for k in range(1, len(p) + 1)})
+    i = np.minimum(np.searchsorted(keys, tails), len(keys) - 1)
+    return Pieces(keys, tails, np.where(keys[i] == tails, i, -1), max(map(len, names)))
 
 
 class Lattice:
     """The pieces that end at each character of a set of words, which have one length after padding."""
 
-    def __init__(self, words: list[str], keys: np.ndarray, longest: int = LONGEST):
+    def __init__(self, words: list[str], pieces: Pieces | np.ndarray):
         self.lengths = np.fromiter(map(len, words), np.int64, len(words))
         n, width = len(words), int(self.lengths.max())
-        codes = np.zeros((n, width), np.uint32)
-        codes[np.arange(width) < self.lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.width, self.longest, none = width, longest, len(keys) + 1
-        #: at[j][k - 1]: the piece of the k characters up to j; len(keys) is an unknown letter, len(keys) + 1 no piece
-        self.at = np.full((width, longest, n), none, np.int32)
-        for j in range(width):
-            live = self.lengths > j
-            for k in range(1, min(longest, j + 1) + 1):
-                h = hashes(codes[live, j - k + 1 : j + 1])
-                i = np.searchsorted(keys, h)
-                i[i == len(keys)] = 0
-                self.at[j, k - 1, live] = np.where(keys[i] == h, i, none - 1 if k == 1 else none)
+        self.codes = np.zeros((width, n), np.uint32)
+        self.codes.T[np.arange(width) < self.lengths[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.width, self.ends = width, isinstance(pieces, Pieces)
+        self.pieces = pieces if self.ends else Pieces(pieces, pieces, np.arange(len(pieces)), width)
+
+    def at(self, j: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(k, words, piece) for the pieces of the k characters up to j; piece len(keys) is an unknown letter."""
+        keys, tails, of, longest = self.pieces
+        live, out = np.flatnonzero(self.lengths > j), []
+        h = np.zeros(len(live), np.uint64)
+        for k in range(1, min(longest, j + 1) + 1):
+            h = step(h, self.codes[j - k + 1, live])
+            t = np.searchsorted(tails, h)
+            t[t == len(tails)] = 0
+            known = tails[t] == h
+            piece = np.where(known, of[t], -1)
+            if k == 1:
+                out.append((1, live, np.where(piece < 0, len(keys), piece)))
+            elif (hit := piece >= 0).any():
+                out.append((k, live[hit], piece[hit]))
+            if self.ends:  # a longer piece ends in this one's characters
+                live, h = live[known], h[known]
+            if not len(live):
+                break
+        return out
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Log probability of each word and language; p: piece by language, with rows for unknown letters and no piece."""
@@ -82,59 +107,74 @@ class Lattice:
         past = [np.ones((n, p.shape[1]))]
         scale, out = np.zeros((n, p.shape[1])), np.zeros((n, p.shape[1]))
         for j in range(self.width):
-            now = sum(past[-k] * p[self.at[j, k - 1]] for k in range(1, min(self.longest, len(past)) + 1))
-            past = [*past[-self.longest + 1 :], now] if self.longest > 1 else [now]
+            now = np.zeros((n, p.shape[1]))
+            for k, rows, piece in self.at(j):
+                now[rows] += past[-k][rows] * p[piece]
+            past = [*past[-self.pieces.longest + 1 :], now] if self.pieces.longest > 1 else [now]
             if j % 8 == 7:
                 top = np.maximum.reduce(past)
                 top[top == 0] = 1
                 past, scale = [x / top for x in past], scale + np.log(top)
             done = self.lengths == j + 1
-            out[done] = np.log(np.maximum(now[done], 1e-300)) + scale[done]
+            if done.any():
+                out[done] = np.log(np.maximum(past[-1][done], 1e-300)) + scale[done]
         return out
 
-    def expected(self, p: np.ndarray, language: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Expected number of each (piece, language) in words of one language each."""
-        n = len(self.lengths)
+    def expected(self, p: np.ndarray, language: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected number of each (piece, language) in words of one language each. Sums are scaled every eight letters; log scales are kept by place."""
+        n, reach, own = len(self.lengths), self.pieces.longest, np.arange(len(self.lengths))
         a, b = np.zeros((self.width + 1, n)), np.zeros((self.width + 1, n))
-        a[0], b[self.lengths, np.arange(n)] = 1, 1
-        prob = p[self.at, language]
-        for j in range(self.width):
-            a[j + 1] = sum(a[j + 1 - k] * prob[j, k - 1] for k in range(1, min(self.longest, j + 1) + 1))
+        log_a, log_b = np.zeros_like(a), np.zeros_like(b)
+        a[0], b[self.lengths, own] = 1, 1
+        steps = [[(k, rows, piece, p[piece, language[rows]]) for k, rows, piece in self.at(j)] for j in range(self.width)]
+        for j, found in enumerate(steps):
+            log_a[j + 1] = log_a[j]
+            for k, rows, _, prob in found:
+                a[j + 1, rows] += a[j + 1 - k, rows] * prob
+            if j % 8 == 7:
+                near = slice(max(0, j + 2 - reach), j + 2)
+                top = a[near].max(axis=0)
+                top[top == 0] = 1
+                a[near] /= top
+                log_a[near] += np.log(top)
+        now = np.zeros(n)
         for j in range(self.width - 1, -1, -1):
-            for k in range(1, min(self.longest, j + 1) + 1):
-                b[j + 1 - k] += b[j + 1] * prob[j, k - 1]
-        weight = counts / np.maximum(a[self.lengths, np.arange(n)], 1e-300)
+            log_b[j + 1] = now
+            for k, rows, _, prob in steps[j]:
+                b[j + 1 - k, rows] += b[j + 1, rows] * prob
+            if j % 8 == 0:
+                near = slice(max(0, j + 1 - reach), j + 1)
+                top = np.where(self.lengths > j, b[near].max(axis=0), 1)
+                top[top == 0] = 1
+                b[near] /= top
+                now = now + np.log(top)
+        whole = np.log(np.maximum(a[self.lengths, own], 1e-300)) + log_a[self.lengths, own]
         total = np.zeros(p.shape)
-        for j in range(self.width):
-            for k in range(1, min(self.longest, j + 1) + 1):
-                np.add.at(total, (self.at[j, k - 1], language), a[j + 1 - k] * prob[j, k - 1] * b[j + 1] * weight)
+        for j, found in enumerate(steps):
+            for k, rows, piece, prob in found:
+                scale = np.exp(log_a[j + 1 - k, rows] + log_b[j + 1, rows] - whole[rows])
+                np.add.at(total, (piece, language[rows]), a[j + 1 - k, rows] * prob * b[j + 1, rows] * scale * counts[rows])
         return total
 
 
-def runs(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Words with their mark, in runs of at most RUN characters, and the word of each run."""
-    out, of = [], []
-    for k, w in enumerate(words):
-        w = MARK + w
-        for a in range(0, len(w), RUN):
-            out.append(w[a : a + RUN])
-            of.append(k)
-    return out, np.array(of, np.int64)
-
-
-def lattices(words: list[str], keys: np.ndarray, at_once: int = 20_000) -> Iterator[tuple[np.ndarray, Lattice]]:
-    """Words by length, so many at a time, and where they were."""
-    order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-    for a in range(0, len(order), at_once):
-        part = order[a : a + at_once]
-        yield part, Lattice([words[i] for i in part], keys)
+def lattices(words: list[str], pieces: Pieces, cells: int = 600_000) -> Iterator[tuple[np.ndarray, Lattice]]:
+    """Marked words by length, so many letters with padding at a time, and where they were."""
+    marked = [MARK + w for w in words]
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    order = np.argsort(size, kind="stable")
+    a = 0
+    while a < len(order):
+        fits = size[order[a : a + 20_000]] * np.arange(1, min(20_000, len(order) - a) + 1) <= cells
+        b = a + max(1, int(fits.sum()))
+        yield order[a:b], Lattice([marked[i] for i in order[a:b]], pieces)
+        a = b
 
 
 class Scorer:
     """Log probabilities of words, kept for up to `keep` of them."""
 
-    def __init__(self, keys: np.ndarray, p: np.ndarray, keep: int = 300_000):
-        self.keys, self.p, self.keep = keys, p, keep
+    def __init__(self, pieces: Pieces, p: np.ndarray, keep: int = 300_000):
+        self.pieces, self.p, self.keep = pieces, p, keep
         self.at: dict[str, int] = {"": 0}
         self.scores = np.zeros((1, p.shape[1]))
 
@@ -142,10 +182,9 @@ class Scorer:
         if len(self.at) + len(words) > self.keep:
             self.at, self.scores = {"": 0}, self.scores[:1]
         if new := [w for w in words if w not in self.at]:
-            parts, of = runs(new)
             found = np.zeros((len(new), self.p.shape[1]))
-            for where, lattice in lattices(parts, self.keys):
-                np.add.at(found, of[where], lattice.forward(self.p))
+            for where, lattice in lattices(new, self.pieces):
+                found[where] = lattice.forward(self.p)
             self.at.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
             self.scores = np.concatenate([self.scores, found])
         return self.scores[np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))]
@@ -164,15 +203,15 @@ def sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def expecter(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, p = shared.value
+        pieces, p = shared.value
         code = {x: i for i, x in enumerate(names)}
         total = np.zeros(p.shape)
         for b in batches:
-            words, of = runs(b.column("word").to_pylist())
+            words = b.column("word").to_pylist()
             language = np.array([code[x] for x in b.column("lang").to_pylist()], np.int64)
             n = b.column("n").to_numpy()
-            for where, lattice in lattices(words, keys):
-                total += lattice.expected(p, language[of[where]], n[of[where]])
+            for where, lattice in lattices(words, pieces):
+                total += lattice.expected(p, language[where], n[where])
         piece, language = np.nonzero(total[:-2])
         yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int64)), pa.array(language.astype(np.int64)), pa.array(total[piece, language])], names=["piece", "language", "n"])
 
@@ -191,9 +230,10 @@ def quota(counts: list[int], sample: int, least: int) -> int:
     return max(share, least)
 
 
-def fit(spark: SparkSession, docs: DataFrame, path: str, learn_from, sample: int = 4000, rounds: int = 3, smooth: float = 0.05, seed: int = 5, least: int = 200) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, piece numbers and probabilities. What reaches the driver is bounded by pieces times languages."""
-    keys = vocabulary(path)
+def fit(spark: SparkSession, docs: DataFrame, path: str, learn_from, sample: int = 4000, rounds: int = 3, smooth: float = 0.05, seed: int = 5, least: int = 200) -> tuple[list[str], Pieces, np.ndarray]:
+    """Languages, pieces and probabilities. What reaches the driver is bounded by pieces times languages."""
+    pieces = vocabulary(path)
+    keys = pieces.keys
     known = docs.where(learn_from & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{M}]"))
     ids = save(spark, known.select(F.col("doc_id").cast("long").alias("label_id"), F.col("lang").cast("string").alias("label_lang")).distinct(), "labelled")
     counts = {r[0]: r[1] for r in ids.groupBy("label_lang").count().collect()}
@@ -210,12 +250,12 @@ def fit(spark: SparkSession, docs: DataFrame, path: str, learn_from, sample: int
     p = np.full((len(keys) + 2, len(names)), 1.0 / len(keys))
     p[-2], p[-1] = UNKNOWN, 0
     for _ in range(rounds if names else 0):
-        shared = spark.sparkContext.broadcast((keys, p))
+        shared = spark.sparkContext.broadcast((pieces, p))
         got = words.mapInArrow(expecter(shared, names), "piece long, language long, n double").groupBy("piece", "language").agg(F.sum("n").alias("n")).toPandas()
         total = np.full((len(keys), len(names)), smooth)
         total[got.piece, got.language] += got.n
         p = np.concatenate([total / total.sum(axis=0) * (1 - UNKNOWN), np.full((1, len(names)), UNKNOWN), np.zeros((1, len(names)))])
-    return names, keys, p
+    return names, pieces, p
 
 
 def predictor(shared, names: list[str], model: str):
@@ -239,10 +279,10 @@ def predict(spark: SparkSession, rows: DataFrame, docs: DataFrame, learn_from=No
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
-    names, keys, p = fit(spark, docs, path, F.lit(True) if learn_from is None else learn_from, **fitted)
+    names, pieces, p = fit(spark, docs, path, F.lit(True) if learn_from is None else learn_from, **fitted)
     if not names:
         return scored(rows, None, {"lang_pred": "string", "score": "double"}, keep_text, {"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    return scored(rows, predictor(spark.sparkContext.broadcast((keys, p)), names, uuid.uuid4().hex), {"lang_pred": "string", "score": "double"}, keep_text)
+    return scored(rows, predictor(spark.sparkContext.broadcast((pieces, p)), names, uuid.uuid4().hex), {"lang_pred": "string", "score": "double"}, keep_text)
 
 
 def remainder(n: int):
