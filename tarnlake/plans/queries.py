@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import values
 from ..functions.predicates import between, eq, ge, gt, is_not_null, is_null, isin, le, lt, ne
+from ..llm.common import save
 from ..operators import log, mutations
 from . import stored
 from .collection import Collection, assembled, dynamic_rows, union_ids
@@ -98,6 +99,18 @@ def numbered(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
 
 
+def numbered_all(spark: SparkSession, rows: DataFrame, *columns: str) -> DataFrame:
+    """All sorted rows with their place: written by ranges, counted per range, numbered by offset and place inside."""
+    inside = (1 << 33) - 1  # the lower bits of the id count the rows of a range
+    held = save(spark, rows.select(*columns, F.monotonically_increasing_id().alias("_at")), "ordered").withColumn("_range", F.shiftright("_at", 33))
+    starts, total = [], 0
+    for part, n in sorted(map(tuple, held.groupBy("_range").count().collect())):
+        starts.append((part, total))
+        total += n
+    offsets = spark.createDataFrame(starts, "_part long, _offset long")
+    return held.join(F.broadcast(offsets), F.col("_range") == F.col("_part")).select(*columns, (F.col("_offset") + F.col("_at").bitwiseAND(inside) + 1).alias("place"))
+
+
 for _name, _down, _field, _nulls in (("topk_asc", False, "o_totalprice", "asc nulls first"), ("topk_desc", True, "o_totalprice", "desc nulls last"), ("missing_sort_asc", False, "o_orderpriority", "asc nulls first"), ("missing_sort_desc", True, "o_orderpriority", "desc nulls last")):
     query(f"select o_orderkey, p as {_field} from (select o_orderkey, {LOW if _field == 'o_orderpriority' else _field} as p from orders) order by p {_nulls}, o_orderkey::varchar limit 100", _name)(lambda spark, sf_dir, f=_field, d=_down: sparse(spark, sf_dir).query().sort(f, d).limit(100).rows().select("o_orderkey", f))
 
@@ -196,6 +209,12 @@ def cross_type_order(spark, sf_dir):
     return numbered(mixed(spark, sf_dir).query().sort("v").limit(5000).rows(), "id")
 
 
+@query("select id, row_number() over (order by k, i, f, s, id) as place from (select p_partkey::varchar as id, case p_partkey % 5 when 4 then 0 when 3 then 1 when 0 then 2 when 2 then 3 else 4 end as k, case when p_partkey % 5 = 0 then p_size end as i, case when p_partkey % 5 = 2 then p_retailprice end as f, case when p_partkey % 5 = 1 then p_brand end as s from part)")
+def cross_type_order_all(spark, sf_dir):
+    """The order of all parts; cross_type_order stops where its SQL does."""
+    return numbered_all(spark, mixed(spark, sf_dir).query().sort("v").rows(), "id")
+
+
 @query("select p_partkey::varchar as id from part where p_partkey % 5 in (1, 2) or p_partkey % 5 = 0 and p_size > 20")
 def cross_type_gt(spark, sf_dir):
     return mixed(spark, sf_dir).query().filter(gt("v", 20)).rows().select("id")
