@@ -1,16 +1,18 @@
 """HTML extraction: composite text density.
 
-Each page is parsed into a tree of elements; elements that are boilerplate by their tag, role or class are cut. For
-every node the link-adjusted characters per tag are computed; a node's density sum is that of its children. The node
-with the largest sum is content; the smallest density on its path from body, in the page as it came or without its
-boilerplate, is the threshold. From body down, or from the article or main that holds that node, every node that
-reaches the threshold gives its own node of the largest sum, and all these are kept with the text, headings and plain
-blocks (not mostly links) that stand beside them. White space inside a block becomes one space, blocks are joined by
-a line feed, character references are decoded. A block below the threshold is dropped if it is mostly links or, outside
-an article or main, not plain.
+Each page is parsed into a tree of elements. Elements that can't be the article by their tag, role or whole class name
+(menus, page headers, footers, sidebars, notices, adverts, forms, scripts, styles, readers' comments) are cut; a class
+name counts only if all its words are such words or words of layout, so `related-work` or `no-sidebar` cuts nothing.
+For every node that is left the link-adjusted characters per tag are computed; the density sum of a node that can hold
+blocks is that of its children. The node with the largest sum is content, whatever its tag; the smallest density on its path from body is the
+threshold. From body down every node that reaches the threshold and is not mostly links gives its own node of the largest sum, and all these
+are kept with the text, headings and blocks (not mostly links) that stand beside them below their common ancestor; beside
+them in body itself only blocks of running text are. White space inside a block becomes one space, blocks are joined by
+a line feed, character references are decoded.
 
 A null or empty page, or one with no text outside boilerplate, gives an empty text. Unclosed and misnested tags are
-repaired as browsers do for paragraphs, lists and tables. Rows that repeat are extracted each.
+repaired as browsers do for paragraphs, lists and tables; where a quote in a tag never ends, quotes mean nothing from
+there on. The work is linear in the page, however deep or broken it is. Rows that repeat are extracted each.
 """
 
 from __future__ import annotations
@@ -18,7 +20,10 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
+from operator import attrgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,46 +39,93 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"ul", "ol", "dl", "table", "article", "section", "div", "body", "td", "main"}
 CUT_TAGS = {"nav", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "svg", "object", "canvas", "audio", "video", "search"}
 CUT_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "form", "menu", "menubar", "toolbar"}
-CUT_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup share sharing social related recommended widget pagination pager toolbar login disclaimer skip".split())
-COMMENT_WORDS = {"comment", "comments", "respond", "replies", "disqus", "discussion"}
-HEADER_CLASSES = {"header", "site-header", "page-header", "top-header", "topbar", "top-bar"}
+CUT_WORDS = set("ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe signup share sharing social recommended pagination pager toolbar login disclaimer".split())
+COMMENT_WORDS = {"comment", "comments", "respond", "replies", "disqus"}
+#: Words that say nothing of what an element is; a name of these and one of the above is still a name for boilerplate.
+LAYOUT_WORDS = set("site page top bottom left right main global primary secondary bar box block container wrapper wrap inner outer list item items links link buttons button icons section area slot unit widget message text content header posts panel column col row bg js".split())
+#: Names that are boilerplate only as a whole.
+CUT_NAMES = {"header", "site-header", "page-header", "top-header", "top-bar", "related", "related-posts", "related-articles", "related-links", "skip", "skip-link", "skip-to-content", "widget", "discussion"}
 TITLES = ("h1", "h2", "header", "hgroup")
 #: Blocks of running text; those that stand beside kept nodes stay even when short.
 PLAIN = set("p pre blockquote ul ol dl table figure h1 h2 h3 h4 h5 h6 header hgroup address".split())
+CUTS, COMMENTS = frozenset(CUT_WORDS | COMMENT_WORDS), frozenset(COMMENT_WORDS)
+#: What can be a subtree of blocks; a paragraph with marked-up words is none, however dense they are.
+CONTAINER = BLOCK - set("p pre h1 h2 h3 h4 h5 h6 hgroup hr address dt caption figcaption summary legend".split()) | {"html", "td", "th"}
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 END = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|aria-hidden|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
-WORDS = re.compile(r"[a-z]+")
+WORDS = re.compile(r"[a-z]+|[^a-z\-_]+")
+
+
+DEPTH = attrgetter("depth")
+
+
+@cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"(?i)</{tag}[\\s/>]")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attributes", "parent", "children", "depth", "named", "holds", "inside", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
     def __init__(self, tag: str, attributes: str, parent: "Node | None"):
         self.tag, self.attributes, self.parent, self.children = tag, attributes, parent, []
-
-
-def tag_end(page: str, at: int) -> int:
-    """Where the tag that begins at `at` ends: the first > outside quotes, or the first at all."""
-    i = at
-    while m := END.search(page, i):
-        if m[0] == ">":
-            return m.start()
-        i = page.find(m[0], m.end()) + 1
-        if not i:
-            break
-    return page.find(">", at)
+        self.depth = parent.depth + 1 if parent else 0
+
+
+class Parser:
+    """Where tags end and which elements are open, each found without walking the page or the open elements again."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.last = page, True, page.rfind(">")
+        self.root = self.here = Node("html", "", None)
+        self.open: dict[str, list[Node]] = {}
+        self.scopes = [0]
+
+    def tag_end(self, at: int) -> int:
+        """The first > outside quotes, or the first at all; -1 if there is none."""
+        if at > self.last:
+            return -1
+        i = at
+        while self.quotes and (m := END.search(self.page, i)):
+            if m[0] == ">":
+                return m.start()
+            i = self.page.find(m[0], m.end()) + 1
+            self.quotes = i > 0
+        self.quotes = False
+        return self.page.find(">", at)
+
+    def push(self, node: Node) -> None:
+        self.here = node
+        self.open.setdefault(node.tag, []).append(node)
+        if node.tag in SCOPE:
+            self.scopes.append(node.depth)
+
+    def close(self, node: Node) -> None:
+        """Close the open element and all inside it."""
+        while self.here.depth >= node.depth:
+            self.open[self.here.tag].pop()
+            if self.here.tag in SCOPE:
+                self.scopes.pop()
+            self.here = self.here.parent
+
+    def outermost(self, tags: set[str]) -> Node | None:
+        """The outermost open element of these tags inside the innermost scope; that scope's own element counts."""
+        least = self.scopes[-1]
+        found = [nodes[i] for t in tags if (nodes := self.open.get(t)) and (i := bisect_left(nodes, least, key=DEPTH)) < len(nodes)]
+        return min(found, key=DEPTH, default=None)
 
 
 def parse(page: str) -> Node:
-    root = here = Node("html", "", None)
-    at, n = 0, len(page)
+    parser = Parser(page)
+    root = parser.root
+    at, n, bodies = 0, len(page), 0
     while at < n:
         less = page.find("<", at)
         if less < 0:
             less = n
         if less > at:
-            here.children.append(page[at:less])
+            parser.here.children.append(page[at:less])
         if less >= n:
             break
         if page.startswith("<!--", less):
@@ -85,26 +137,25 @@ def parse(page: str) -> Node:
             at = n if end < 0 else end + 1
             continue
         closing = page.startswith("</", less)
-        m = NAME.match(page, less + 1 + closing)
-        end = tag_end(page, less) if m else -1
+        m = NAME.match(page, less + 1 + closing) if less <= parser.last else None
+        end = parser.tag_end(less) if m else -1
         if end < 0:
-            here.children.append("<")
+            parser.here.children.append("<")
             at = less + 1
             continue
         tag, at = m[0].lower(), end + 1
         if closing:
-            open_ = here
-            while open_ and open_.tag != tag and not (tag not in BLOCK and open_.tag in SCOPE):
-                open_ = open_.parent
-            if open_ and open_.tag == tag and open_.parent:
-                here = open_.parent
+            same = parser.open.get(tag)
+            if same and (tag in BLOCK or same[-1].depth >= parser.scopes[-1]):
+                parser.close(same[-1])
             continue
-        attributes = page[m.end() : end]
-        if tag == "html" or tag == "body" and any(isinstance(c, Node) and c.tag == "body" for c in root.children):
+        attributes = page[min(m.end(), end) : end]
+        if tag == "html" or tag == "body" and bodies:
             continue
+        bodies += tag == "body"
         if tag in RAW:
-            close = re.compile(f"(?i)</{tag}[\\s/>]").search(page, at)
-            here.children.append(Node(tag, attributes, here))
+            close = raw_end(tag).search(page, at)
+            parser.here.children.append(Node(tag, attributes, parser.here))
             stop = n if not close else close.start()
             at = n if not close else max(stop, page.find(">", stop)) + 1
             continue
@@ -114,60 +165,61 @@ def parse(page: str) -> Node:
                 ends = ends | {"h1", "h2", "h3", "h4", "h5", "h6"}
             if tag == "body":
                 ends = {"head"}
-            open_, last = here, None
-            while open_ and open_.parent:
-                if open_.tag in ends:
-                    last = open_
-                elif open_.tag in SCOPE:
-                    break
-                open_ = open_.parent
-            if last:
-                here = last.parent
-        node = Node(tag, attributes, here)
-        here.children.append(node)
+            if last := parser.outermost(ends):
+                parser.close(last)
+        node = Node(tag, attributes, parser.here)
+        parser.here.children.append(node)
         if tag not in VOID and not attributes.rstrip().endswith("/"):
-            here = node
+            parser.push(node)
     return root
 
 
-def boilerplate(node: Node) -> bool:
-    if node.tag in CUT_TAGS or node.tag in RAW:
-        return True
-    found = {}
+def named(node: Node) -> dict[str, str]:
+    found: dict[str, str] = {}
     if node.attributes:
         for m in ATTRIBUTE.finditer(node.attributes):
             found.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
-    if found.get("aria-hidden") == "true" or found.get("role") in CUT_ROLES:
+    return found
+
+
+def names(node: Node) -> list[str]:
+    return f"{node.named.get('class', '')} {node.named.get('id', '')}".split()
+
+
+@cache
+def is_name(name: str, words: frozenset[str]) -> bool:
+    """Whether one word of the name at least is of these, and the others are too or are words of layout."""
+    own = WORDS.findall(name)
+    return any(w in words for w in own) and all(w in words or w in LAYOUT_WORDS or w.isdigit() for w in own)
+
+
+def comments(node: Node) -> bool:
+    return any(is_name(x, COMMENTS) for x in names(node))
+
+
+def boilerplate(node: Node) -> bool:
+    if node.tag in CUT_TAGS or node.tag in RAW:
+        return True
+    if node.named.get("aria-hidden") == "true" or node.named.get("role") in CUT_ROLES:
         return True
-    named = f"{found.get('class', '')} {found.get('id', '')}"
-    words = set(WORDS.findall(named))
     if node.tag == "header":
-        return not (inside(node, ("article", "main")) or holds(node))
-    if node.tag in ("html", "body", "main") or not words:
+        return not (node.inside or node.holds)
+    if node.tag in ("html", "body", "main") or node.tag in TITLES or node.holds:
         return False
-    if words & COMMENT_WORDS and not holds(node):
+    if comments(node):
         return True
-    if node.tag == "article":
-        return False
-    return bool(words & CUT_WORDS or set(named.split()) & HEADER_CLASSES) and not holds(node)
-
+    return node.tag != "article" and any(x in CUT_NAMES or is_name(x, CUTS) for x in names(node))
 
-def inside(node: Node, tags: tuple[str, ...]) -> bool:
-    while node := node.parent:
-        if node.tag in tags:
-            return True
-    return False
 
-
-def holds(node: Node) -> bool:
-    """Whether an article that is no reader's comment, or main, stands below."""
-    todo = [c for c in node.children if isinstance(c, Node)]
-    while todo:
-        c = todo.pop()
-        if c.tag == "main" or c.tag == "article" and not set(WORDS.findall(c.attributes.lower())) & COMMENT_WORDS:
-            return True
-        todo += [x for x in c.children if isinstance(x, Node)]
-    return False
+def describe(root: Node) -> None:
+    """Of every node its named attributes, whether it holds an article that is no reader's comment or main, and whether it stands in one."""
+    nodes = in_order(root)
+    for node in nodes:
+        node.named, node.holds = named(node), False
+        node.inside = bool(node.parent) and (node.parent.inside or node.parent.tag in ("article", "main"))
+    for node in reversed(nodes):
+        if node.parent and (node.holds or node.tag == "main" or node.tag == "article" and not comments(node)):
+            node.parent.holds = True
 
 
 def in_order(root: Node) -> list[Node]:
@@ -183,7 +235,6 @@ def measure(body: Node) -> list[Node]:
     """Densities of all nodes; children come after their parents in the list."""
     nodes = in_order(body)
     for node in reversed(nodes):
-        link = node.tag == "a"
         node.chars = node.link_chars = 0
         node.tags, node.link_tags = 0, 0
         for c in node.children:
@@ -194,8 +245,8 @@ def measure(body: Node) -> list[Node]:
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
                 node.link_tags += c.link_tags + (c.tag == "a")
-        if link:
-            node.link_chars, node.link_tags = node.chars, node.link_tags
+        if node.tag == "a":
+            node.link_chars = node.chars
     share = body.link_chars / max(1, body.chars)
     for node in nodes:
         c, t = node.chars, max(1, node.tags)
@@ -204,7 +255,7 @@ def measure(body: Node) -> list[Node]:
         ratio = c / lc * t / lt
         node.density = c / t * math.log(ratio) / math.log(base + 1e-9) if c and ratio > 1 and base > 1 else float(c / t if c and base <= 1 else 0)
     for node in nodes:
-        node.total = sum(c.density for c in node.children if isinstance(c, Node))
+        node.total = sum(c.density for c in node.children if isinstance(c, Node)) if node.tag in CONTAINER else 0.0
     return nodes
 
 
@@ -241,39 +292,29 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    strip(root, lambda c: c.tag in RAW)
-    body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
-    least = {x: x.density for x in measure(body)}  # of the page as it came
+    describe(root)
     strip(root, boilerplate)
+    body = next((c for c in root.children if isinstance(c, Node) and c.tag == "body"), root)
     nodes = measure(body)
     best = max(nodes, key=lambda x: x.total)
     if best.total <= 0:
         best = body
-    articles = [x for x in nodes if x.tag in ("article", "main") and x.chars]
-    outer = [x for x in (best, *ancestors(best)) if x in articles]
-    bound = body
-    if outer:
-        bound = next((x for x in reversed(outer) if x.tag == "article"), outer[-1])
-    elif inner := [x for x in articles if best is body or best in ancestors(x)]:
-        top = max(inner, key=lambda x: x.chars)
-        if all(x is top or top in ancestors(x) or x in ancestors(top) for x in inner):
-            bound = top
-            best = max(in_order(bound), key=lambda x: x.total)
-            if best.total <= 0:
-                best = bound
-    path = [best]
-    while path[-1] is not body:
-        path.append(path[-1].parent)
-    kept = reaching(bound, min(min(x.density, least[x]) for x in path))
-    top = bound
-    if bound is body:
-        top = common(kept)
-        while top is not body and all(isinstance(c, str) and not c.strip() or c is top or isinstance(c, Node) and c.tag in TITLES for c in top.parent.children):
-            top = top.parent
-    prune(top, kept, PLAIN if bound is body else BLOCK)
+    kept = reaching(body, min(x.density for x in path(best, body)))
+    top = common(nodes, kept)
+    beside = PLAIN if top is body else BLOCK
+    while top is not body and all(isinstance(c, str) and not c.strip() or c is top or isinstance(c, Node) and c.tag in TITLES for c in top.parent.children):
+        top = top.parent
+    prune(top, kept, beside)
     return blocks(top)
 
 
+def path(node: Node, body: Node) -> list[Node]:
+    out = [node]
+    while out[-1] is not body:
+        out.append(out[-1].parent)
+    return out
+
+
 def strip(root: Node, cut) -> None:
     todo = [root]
     while todo:
@@ -291,24 +332,30 @@ def reaching(bound: Node, threshold: float) -> set[Node]:
     todo = [bound]
     while todo:
         node = todo.pop()
-        if node not in kept and node.chars and node.density >= threshold:
+        if node not in kept and node.chars and node.density >= threshold and 2 * node.link_chars <= node.chars:
             kept.add(largest[node] if largest[node].total > 0 else node)
             if node not in kept:
                 todo += [c for c in node.children if isinstance(c, Node)]
     return kept or {bound}
 
 
-def common(kept: set[Node]) -> Node:
+def common(nodes: list[Node], kept: set[Node]) -> Node:
     """The lowest node that holds all of them."""
-    first, *rest = kept
-    path = [first, *ancestors(first)]
-    others = [{x, *ancestors(x)} for x in rest]
-    return next(x for x in path if all(x in o for o in others))
+    below = {x: 0 for x in nodes}
+    for node in reversed(nodes):  # children come before their parents
+        below[node] += node in kept
+        if below[node] == len(kept):
+            return node
+        below[node.parent] += below[node]
+    return nodes[0]
 
 
 def prune(top: Node, kept: set[Node], plain: set[str]) -> None:
     """Of what lies above the kept nodes, leave loose text with its inline elements, and blocks of the plain tags that are not mostly links."""
-    above = {x for k in kept for x in ancestors(k)}
+    above: set[Node] = set()
+    for node in kept:
+        while node is not top and (node := node.parent) not in above:
+            above.add(node)
     todo = [top]
     while todo:
         node = todo.pop()
@@ -320,13 +367,6 @@ def prune(top: Node, kept: set[Node], plain: set[str]) -> None:
         todo += [c for c in node.children if isinstance(c, Node) and c in above]
 
 
-def ancestors(node: Node) -> list[Node]:
-    out = []
-    while node := node.parent:
-        out.append(node)
-    return out
-
-
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in slices(whole, "html"):
