@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,8 @@ from .. import ship
 
 #: Temporary folders of sessions without spark.checkpoint.dir, which can't be set on a running session.
 _local: dict[str, str] = {}
+#: Paths and schemas of saved tables, in order.
+_saved: list[tuple] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set (local tests)."""
+    """The shared folder of the cluster; a temporary one only where none is set and all runs in one process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _local:
         _local[app] = tempfile.mkdtemp(prefix="tarnlake-")
@@ -38,12 +43,49 @@ def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _saved.append((path, df.schema))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_so_far() -> int:
+    return len(_saved)
+
+
+def empty_saved(spark: SparkSession, since: int = 0) -> None:
+    """Empty the tables saved since then, once nothing reads them any more."""
+    while len(_saved) > since:
+        path, schema = _saved.pop()
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def fits(df: DataFrame, rows: int = 50_000) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
     """A broadcast hint if df, counted here, has at most so many (narrow) rows; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if fits(df, rows) else df
+
+
+def looked_up(spark: SparkSession, rows: DataFrame, named: DataFrame, on: list[str], how: str = "inner", hot: int = 10_000, few: int = 50_000) -> DataFrame:
+    """rows joined with `named`, which has one narrow row for each key.
+
+    A small `named` is broadcast. Else the keys that more than one row in `hot` has, which are fewer than `hot`, are looked
+    up by broadcast and the others by a shuffle, so that no key's rows meet in one task. Null keys match nothing.
+    """
+    if fits(named, few):
+        return rows.join(F.broadcast(named), on, how)
+    known = F.lit(True)
+    for c in on:
+        known = known & F.col(c).isNotNull()
+    keyed = rows.where(known)
+    heavy = keyed.groupBy(*on).count().where(F.col("count") > F.greatest(F.lit(1000), F.lit(rows.count() // hot))).select(*on)
+    heavy = F.broadcast(save(spark, heavy, "heavy-keys"))
+    out = keyed.join(heavy, on, "left_anti").join(named, on, how)
+    out = out.unionByName(keyed.join(heavy, on, "left_semi").join(F.broadcast(named.join(heavy, on, "left_semi")), on, how))
+    if how in ("left", "left_anti"):
+        out = out.unionByName(rows.where(~known), allowMissingColumns=True)
+    return out
 
 
 def by_group(df: DataFrame, gid: str, *order: str) -> DataFrame:
@@ -140,7 +182,7 @@ def deal(spark: SparkSession, keyed: DataFrame, id_column: str, block: int) -> D
     """
     sized = save(spark, keyed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).alias("parts")), "hot-buckets")
     parts = F.coalesce("parts", F.lit(1))
-    dealt = keyed.join(small(sized), "bucket", "left").withColumn("part", F.pmod(F.xxhash64(id_column, F.lit(7)), parts))
+    dealt = looked_up(spark, keyed, sized, ["bucket"], "left").withColumn("part", F.pmod(F.xxhash64(id_column, F.lit(7)), parts))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.struct(F.least(j, "part").alias("a"), F.greatest(j, "part").alias("b")))
     return dealt.withColumn("pair", F.explode(pairs)).withColumn("gid", F.xxhash64("bucket", "pair.a", "pair.b")).withColumn("side", (F.col("part") > F.col("pair.a")).cast("int")).drop("bucket", "parts", "part", "pair")
 

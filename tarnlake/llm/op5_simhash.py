@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_group, deal, forest, many_groups, save, slices, table
+from .common import by_group, deal, forest, looked_up, many_groups, save, slices, small, table
 from .components import components
 
 ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -45,8 +45,8 @@ def shingles(text: str, words: int, seed: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts[:last].tolist(), ends[k:].tolist())), np.uint64, last)
 
 
-def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
-    hashes = shingles(text, words, seed)
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each 1 if set in over half the hashes."""
     last = len(hashes)
     if not last:
         return 0
@@ -56,6 +56,10 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int(np.packbits(counts * 2 > last, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
+    return majority(shingles(text, words, seed))
+
+
 def fingerprints(words: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,8 +118,8 @@ def within(query: np.ndarray, sliced: np.ndarray, at: np.ndarray, valid: np.ndar
     return cells[rows], lanes
 
 
-def linked(fps: np.ndarray, gid: np.ndarray, side: np.ndarray, radius: int, cells_at_once: int = 1 << 17) -> np.ndarray:
-    """The smallest index that each fingerprint reaches inside its group. Rows come by group, side and fingerprint."""
+def pairs(fps: np.ndarray, gid: np.ndarray, side: np.ndarray, radius: int, cells_at_once: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the fingerprints of a group within the radius, between its sides where it has two. Rows come by group, side and fingerprint."""
     n = len(fps)
     run = np.concatenate([[True], (gid[1:] != gid[:-1]) | (side[1:] != side[:-1])])
     first = np.flatnonzero(run)
@@ -139,8 +143,6 @@ def linked(fps: np.ndarray, gid: np.ndarray, side: np.ndarray, radius: int, cell
     cells = word_at[other + 1] - begin
     if (alone := (side == 1) & ~np.concatenate([[False], paired[:-1]])[run_of]).any():  # the first block may be empty
         begin, cells = np.where(alone, lane_of // 64, begin), np.where(alone, word_at[run_of + 1] - lane_of // 64, cells)
-    label = np.arange(n)
-    lefts, rights = [], []
     ends = np.cumsum(cells)
     a = 0
     while a < n:
@@ -149,12 +151,21 @@ def linked(fps: np.ndarray, gid: np.ndarray, side: np.ndarray, radius: int, cell
         at = np.arange(len(of)) - np.repeat(ends[a:b] - cells[a:b] - (ends[a - 1] if a else 0), cells[a:b]) + begin[of]
         cell, lane = within(fps[of], sliced, at, used[at], radius)
         left, right = of[cell], back[at[cell] * 64 + lane]
-        lefts.append(left[left != right])
-        rights.append(right[left != right])
+        yield left[left != right], right[left != right]
+        a = b
+
+
+def linked(fps: np.ndarray, gid: np.ndarray, side: np.ndarray, radius: int) -> np.ndarray:
+    """The smallest index that each fingerprint reaches inside its group."""
+    n = len(fps)
+    label = np.arange(n)
+    lefts, rights = [], []
+    for left, right in pairs(fps, gid, side, radius):
+        lefts.append(left)
+        rights.append(right)
         if sum(map(len, lefts)) > 1 << 22:
             label = forest(n, np.concatenate([*lefts, np.arange(n)]), np.concatenate([*rights, label]))
             lefts, rights = [], []
-        a = b
     return forest(n, np.concatenate([*lefts, np.arange(n)]), np.concatenate([*rights, label]))
 
 
@@ -186,18 +197,11 @@ def classes(spark: SparkSession, docs: DataFrame, words: int = 4, radius: int =
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(fingerprints(words, seed), "doc_id long, fp long")
     fps = save(spark, found, "simhash")
     reach = near(spark, fps, radius, block)
-    of = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(reach, F.col("fp") == F.col("child"), "left").select("fp", "first", F.coalesce("parent", "fp").alias("root"))
+    of = fps.groupBy("fp").agg(F.min("doc_id").alias("first")).join(small(reach), F.col("fp") == F.col("child"), "left").select("fp", "first", F.coalesce("parent", "fp").alias("root"))
     roots = save(spark, of, "roots")
-    ids = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(ids, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Of each group of near copies the document with the smallest id, with the columns of docs. Rows that share it are one row; rows without an id stay."""
-    kept = classes(spark, docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.where("doc_id is not null").join(kept, docs["doc_id"].cast("long") == kept["kept_id"], "left_semi")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    ids = save(spark, roots.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
+    named = save(spark, looked_up(spark, roots, ids, ["root"]).select("fp", "component_id"), "components")
+    return looked_up(spark, fps, named, ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlake import ship
-from tarnlake.llm import op1_packing, op2_sharding, op3_order_minhash, op4_url_rules, op5_simhash, op6_mixing, op7_toxicity, op8_html, op9_embeddings, op10_language_id
+from tarnlake.llm import near_copies, op1_packing, op2_sharding, op3_order_minhash, op4_url_rules, op5_simhash, op6_mixing, op7_toxicity, op8_html, op9_embeddings, op10_language_id
 
-CLASHING = "row fp gid side h cell order bytes range top head sketch _w _k key span rest epoch domain _domain _lang _source tokens cap w budget score lang_pred threshold bucket label has anchor mined kept_id component_id child parent v h1 cid weight code raw t fold bad items toxic label_id start length ids _times _last number part".split()
+CLASHING = "row fp gid side h cell order bytes range top head sketch _w _k key span rest epoch domain _domain _lang _source tokens cap w budget score lang_pred threshold bucket label has anchor mined kept_id component_id child parent v h1 cid weight code raw t fold bad items toxic label_id start length ids _times _last number part node root n text_hash best stays first rank".split()
 SCHEMAS = {
     "docs": "doc_id long, text string, lang string, source string, n_chars long",
     "labels": "doc_id long, quality int, toxic int",
@@ -20,7 +20,7 @@ CASES = {
     "order_minhash": (lambda s, t: op3_order_minhash.fingerprints(s, t["docs"]), 3),
     "url_rules": (lambda s, t: op4_url_rules.judge(s, t["pages"], t["labels"]), 3),
     "simhash": (lambda s, t: op5_simhash.classes(s, t["docs"]), 3),
-    "keep_one": (lambda s, t: op5_simhash.keep_one(s, t["docs"]), 3),
+    "keep_one": (lambda s, t: near_copies.keep_one(s, t["docs"]), 1),
     "mixing": (lambda s, t: op6_mixing.mixed(s, t["docs"]), 3),
     "toxicity": (lambda s, t: op7_toxicity.toxicity(s, t["docs"], t["labels"]), 3),
     "clean": (lambda s, t: op7_toxicity.clean(s, t["docs"], t["labels"]), 3),

