@@ -140,9 +140,12 @@ def letter_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Lower-cased runs of letters of each text: an index into the distinct words for each, those words, and where each text begins."""
     low = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}\p{M}]+", " ")
     parts = pc.ascii_split_whitespace(low)
-    coded = parts.flatten().dictionary_encode()
+    flat = parts.flatten()
+    some = pc.not_equal(flat, "")  # the split leaves an empty word before a blank at the beginning, and after one at the end
+    coded = flat.filter(some).dictionary_encode()
     ends = np.cumsum(pc.list_value_length(parts).to_numpy(zero_copy_only=False))
-    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), np.concatenate([[0], ends])
+    bounds = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])[np.concatenate([[0], ends])]
+    return coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist(), bounds
 
 
 def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
