@@ -31,6 +31,7 @@ VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 UNKNOWN = 1e-7
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+KINDS = {"lang_pred": "string", "score": "double", "fit": "double"}
 _models: dict[str, "Scorer"] = {}
 
 
@@ -259,30 +260,32 @@ def fit(spark: SparkSession, docs: DataFrame, path: str, learn_from, sample: int
 
 
 def predictor(shared, names: list[str], model: str):
-    def score(texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+    def score(texts: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
         if model not in _models:
             _models.clear()
             _models[model] = Scorer(*shared.value)
         which, words, bounds = letter_words(texts)
         total = segment_sum(_models[model](words)[which], bounds)
-        some = segment_sum((np.fromiter(map(len, words), np.int64, len(words)) > 0)[which].astype(float), bounds) > 0
+        letters = segment_sum((np.fromiter(map(len, words), np.float64, len(words)) + 1)[which], bounds)  # and the mark
+        some = letters > 0
         odds = np.exp(total - total.max(axis=1, keepdims=True))
         best = total.argmax(axis=1)
-        return pa.array([names[i] if s else "und" for i, s in zip(best, some)], pa.string()), pa.array(np.where(some, 1 / odds.sum(axis=1), 0.0))
+        fits = total.max(axis=1) / np.maximum(letters, 1)
+        return pa.array([names[i] if s else "und" for i, s in zip(best, some)], pa.string()), pa.array(np.where(some, 1 / odds.sum(axis=1), 0.0)), pa.array(fits)
 
     return score
 
 
 def predict(spark: SparkSession, rows: DataFrame, docs: DataFrame, learn_from=None, path: str | None = None, keep_text: bool = False, **fitted) -> DataFrame:
-    """(row, [text,] lang_pred, score), as scored() gives them, for all rows; learned from docs."""
+    """(row, [text,] lang_pred, score, fit), as scored() gives them, for all rows; learned from docs. fit: log probability a letter."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path(VOCABULARY)
     names, pieces, p = fit(spark, docs, path, F.lit(True) if learn_from is None else learn_from, **fitted)
     if not names:
-        return scored(rows, None, {"lang_pred": "string", "score": "double"}, keep_text, {"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    return scored(rows, predictor(spark.sparkContext.broadcast((pieces, p)), names, uuid.uuid4().hex), {"lang_pred": "string", "score": "double"}, keep_text)
+        return scored(rows, None, KINDS, keep_text, {"lang_pred": F.lit("und"), "score": F.lit(0.0), "fit": F.lit(0.0)})
+    return scored(rows, predictor(spark.sparkContext.broadcast((pieces, p)), names, uuid.uuid4().hex), KINDS, keep_text)
 
 
 def remainder(n: int):
@@ -290,10 +293,15 @@ def remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
-def accepted(spark: SparkSession, docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """Documents with letters whose language is not a toss-up, with the columns of docs."""
+def accepted(spark: SparkSession, docs: DataFrame, least: float = 0.35, least_fit: float = -4.0) -> DataFrame:
+    """Documents in a known language, with the columns of docs; lang becomes the predicted one.
+
+    Texts without letters are rejected, and so are those whose language is a toss-up (score below `least`), and those that
+    no language fits: below `least_fit` a letter is less likely in the best of them than one drawn from fifty at random.
+    """
     out = predict(spark, docs, docs, keep_text=True)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select(*row_columns(docs))
+    kept = out.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= least_fit))
+    return kept.select(*(F.col("lang_pred").cast(docs.schema["lang"].dataType).alias("lang") if n == "lang" else c.alias(n) for n, c in zip(docs.columns, row_columns(docs))))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
