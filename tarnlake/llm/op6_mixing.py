@@ -3,13 +3,14 @@
 A token budget is handed down a tree of domain, language and source. At each node it is shared among the children by
 weight, but no child gets more than the leaves below it can supply (their tokens times max_epochs); what a child can't
 take goes to its siblings by weight, and only when all of them are full to the node's own siblings (water filling, in
-closed form by window sums). A leaf reads whole epochs while its share lasts, then a prefix of one more: documents in
-the order of a hash of seed, epoch and id, as long as their tokens together stay within the share. The cut of that
-prefix is found from sums over 4096 ranges of the hash and the rows of one range, so a hot source is never sorted whole.
+closed form by window sums). A leaf reads whole epochs while its share lasts, then a token-prefix of one more: documents
+in the order of a hash of seed, epoch and id, and of the document at the cut its first tokens, so that nothing of a share
+is left over. The cut of that prefix is found from sums over 4096 ranges of the hash and the rows of one range, so a hot
+source is never sorted whole.
 
 Tokens are words between ASCII white space. Null languages and sources are a leaf `none`; a null text has no token and
-is taken with whole epochs, or where its hash is below the cut. Rows that share an id fall on the same side of the cut.
-Weights that are not given are 1. Further columns are kept; an empty table gives an empty result.
+is taken with whole epochs, or where its hash is below the cut. Rows that share the id at the cut are each read in part,
+in proportion to their tokens (rounded down). Weights that are not given are 1. Further columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def key(seed: int, epoch: Column) -> Column:
 
 def leaves(spark: SparkSession, docs: DataFrame, domain: Column, budget: float, domains: dict, languages: dict, sources: dict, max_epochs: int, seed: int) -> DataFrame:
     """For each leaf: how many whole epochs, and the largest hash of the one after them (-1: none of it)."""
-    named = docs.select("doc_id", domain.alias("_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("_lang"), F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("_source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("tokens"))
+    named = docs.select("doc_id", domain.alias("_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("_lang"), F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("_source"), tokens().alias("tokens"))
     rows = save(spark, named, "mix-rows")
     leaf = rows.groupBy(*LEAF).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * F.lit(float(max_epochs)))
     top = leaf.groupBy("_domain").agg(F.sum("cap").alias("cap")).withColumn("w", weight("_domain", domains))
@@ -74,31 +75,39 @@ def leaves(spark: SparkSession, docs: DataFrame, domain: Column, budget: float,
     upto = F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("span"))
     cut = spans.withColumn("upto", upto).where("upto > rest").groupBy(*LEAF).agg(F.min(F.struct("span", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room"))).alias("c")).select(*LEAF, F.col("c.span").alias("span"), "c.room")
     cut = save(spark, cut, "mix-cuts")
-    within = F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    inside = keyed.drop("rest").join(small(cut), [*LEAF, "span"]).withColumn("within", within).where("within <= room").groupBy(*LEAF).agg(F.max("key").alias("last"))
-    ends = cut.join(inside, LEAF, "left").select(*LEAF, F.coalesce("last", F.shiftleft("span", WIDTH - RANGE_BITS) - 1).alias("last"))
+    inside = keyed.drop("rest").join(small(cut), [*LEAF, "span"]).groupBy(*LEAF, "key", "room").agg(F.sum("tokens").alias("tokens"))
+    over = (F.sum("tokens").over(Window.partitionBy(*LEAF).orderBy("key")) - F.col("room")).alias("over")
+    ends = inside.select(*LEAF, "key", "tokens", over).where("over > 0").groupBy(*LEAF).agg(F.min(F.struct("key", "tokens", "over")).alias("c"))
+    ends = ends.select(*LEAF, F.col("c.key").alias("last"), F.col("c.tokens").alias("last_tokens"), (F.col("c.tokens") - F.col("c.over")).alias("room"))
     # without a cut the rest covers the whole epoch: that is a leaf without tokens
-    return save(spark, low.join(ends, LEAF, "left").select(*LEAF, "tokens", "share", "epochs", F.coalesce("last", F.lit(1 << WIDTH)).alias("last")), "mix-cut-leaves")
+    return save(spark, low.join(ends, LEAF, "left").select(*LEAF, "share", "epochs", F.coalesce("last", F.lit(1 << WIDTH)).alias("last"), F.coalesce("last_tokens", F.lit(1)).alias("last_tokens"), F.coalesce("room", F.lit(0)).alias("room")), "mix-cut-leaves")
+
+
+def tokens() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def mix(spark: SparkSession, docs: DataFrame, domain: Column | None = None, budget: float = 0.6, domains: dict | None = None, languages: dict | None = None, sources: dict | None = None, max_epochs: int = 2, seed: int = 17) -> DataFrame:
-    """(row, domain, epoch): `row` holds the columns of docs, so no name can clash; a row for each epoch in which a document is read. budget: tokens to take, as a share of all."""
+    """(row, domain, epoch, tokens, taken): `row` holds the columns of docs, so no name can clash; a row for each epoch in
+    which a document is read, with its tokens and how many of them are, from the first on. budget: tokens to take, as a share of all."""
     domain = by_number(F.col("source")) if domain is None else domain
     leaf = leaves(spark, docs, domain, budget, domains or DOMAINS, languages or LANGUAGES, sources or {}, max_epochs, seed)
-    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", domain.alias("_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("_lang"), F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("_source"))
-    read = named.join(small(leaf.select(*LEAF, F.col("epochs").alias("_epochs"), F.col("last").alias("_last"))), LEAF)
-    times = F.col("_epochs") + (key(seed, F.col("_epochs") + 1) <= F.col("_last")).cast("long")
-    return read.withColumn("_times", times).where("_times > 0").select("row", F.col("_domain").alias("domain"), F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("epoch"))
+    named = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", tokens().alias("_tokens"), domain.alias("_domain"), F.coalesce(F.col("lang").cast("string"), F.lit("none")).alias("_lang"), F.coalesce(F.col("source").cast("string"), F.lit("none")).alias("_source"))
+    read = named.join(small(leaf.select(*LEAF, F.col("epochs").alias("_epochs"), F.col("last").alias("_last"), "last_tokens", "room")), LEAF).withColumn("_key", key(seed, F.col("_epochs") + 1))
+    part = F.when(F.col("_key") == F.col("_last"), F.expr("_tokens * room div last_tokens")).otherwise(F.lit(0))
+    read = read.withColumn("_part", part).withColumn("_times", F.col("_epochs") + ((F.col("_key") < F.col("_last")) | (F.col("_part") > 0)).cast("long"))
+    read = read.where("_times > 0").select("row", F.col("_domain").alias("domain"), F.explode(F.sequence(F.lit(1).cast("long"), "_times")).alias("epoch"), F.col("_tokens").alias("tokens"), "_part", "_epochs")
+    return read.select("row", "domain", "epoch", "tokens", F.when((F.col("epoch") > F.col("_epochs")) & (F.col("_part") > 0), F.col("_part")).otherwise(F.col("tokens")).alias("taken"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents of one epoch at most, with the columns of docs."""
-    return mix(spark, docs, max_epochs=1).select("row.*")
+    """The documents of one epoch at most, whole and with the columns of docs; that at a leaf's cut stays if at least half of it is taken."""
+    return mix(spark, docs, max_epochs=1).where("2 * taken >= tokens").select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mix(spark, docs).select("row.doc_id", "domain", "row.lang", "row.source", "epoch")
+    return mix(spark, docs).select("row.doc_id", "domain", "row.lang", "row.source", "epoch", "taken")
 
 
 def _case(c: str, given: dict[str, float]) -> str:
@@ -124,6 +133,8 @@ c0 as (select leaf.*, 1.0::double as w, b.budget from leaf join b using (domain,
 c as (select domain, lang, source, tokens, floor(share + 1e-6)::bigint as share from {_pour("c0", "source", "domain, lang")}),
 e as (select *, case when tokens > 0 then share // tokens else 0 end as epochs from c),
 k as (select d.doc_id, d.domain, d.lang, d.source, d.tokens, e.epochs, e.share - e.epochs * e.tokens as rest, ('0x' || substr(md5('17|' || (e.epochs + 1) || '|' || d.doc_id), 1, 15))::bigint as key from d join e using (domain, lang, source)),
-t as (select *, epochs + case when sum(tokens) over (partition by domain, lang, source order by key) <= rest then 1 else 0 end as times from k)
-select doc_id, domain, lang, source, unnest(range(1, times + 1)) as epoch from t
+s as (select *, sum(tokens) over (partition by domain, lang, source order by key) as upto from k),
+t as (select *, epochs + case when upto <= rest or rest > upto - tokens then 1 else 0 end as times from s),
+u as (select *, unnest(range(1, times + 1)) as epoch from t)
+select doc_id, domain, lang, source, epoch, case when epoch > epochs and upto > rest then rest - upto + tokens else tokens end::bigint as taken from u
 """

@@ -180,8 +180,10 @@ def test_mixing_fills_budgets(spark, odd):
     again = op6_mixing.op6_mixing(spark, DIR).collect()
     assert sorted(map(tuple, again)) == sorted(want)
     tokens = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    total, taken = sum(tokens(r.text) for r in docs.collect()), sum(tokens(r["row"].text) for r in got.collect())
-    assert 0 < taken <= 0.5 * total + 1  # a prefix ends before the document that would pass the share
+    total, taken = sum(tokens(r.text) for r in docs.collect()), sum(r.taken for r in got.collect())
+    leaves = docs.select("lang", "source").distinct().count()
+    assert 0.5 * total - leaves <= taken <= 0.5 * total  # nothing of a share is left over but parts of a token
+    assert all(r.tokens == tokens(r["row"].text) and (0 < r.taken <= r.tokens or r.tokens == 0) for r in got.collect())
     clash = odd.withColumn("_domain", F.lit(1)).withColumn("epoch", F.lit(2)).withColumn("kept_id", F.lit(3))
     assert op6_mixing.mixed(spark, clash).columns == clash.columns
     assert near_copies.keep_one(spark, clash).columns == clash.columns
