@@ -1,8 +1,8 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
 Documents are tokenised once. A document longer than a sequence is cut into full pieces and one rest; the
-pieces are dealt at random (seeded) into groups of about `group_bytes` of text, and each group is packed by
-itself. A sequence that would be padded by more than 1/32 is cut into sequences whose lengths are powers of
+pieces are dealt at random (seeded, by id and place in the input, so that rows of one id spread too) into groups of
+about `group_bytes` of text, and each group is packed by itself. A sequence that would be padded by more than 1/32 is cut into sequences whose lengths are powers of
 two, which need no padding: this is the last bin of a group as a rule.
 
 Null and empty texts are one piece with the end token alone. Rows that repeat are packed as often as they
@@ -207,7 +207,7 @@ def packer(capacity: int, slack: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, group_bytes: int = 1 << 20, seed: int = 11) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, group_bytes: int = 4 << 20, seed: int = 11) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids); ids: little-endian unsigned 32-bit."""
     if tokenizer is None:
         import public_tokenizers
@@ -217,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     size = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
     n = max(1, -(-size // group_bytes))
     cut = docs.mapInArrow(pieces(tokenizer, capacity, end), "doc_id long, start long, length long, doc_tokens long, raw binary")
-    dealt = by_group(cut.withColumn("gid", F.pmod(F.xxhash64("doc_id", "start", F.lit(seed)), F.lit(n))), "gid")
+    dealt = by_group(cut.withColumn("gid", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id(), F.lit(seed)), F.lit(n))), "gid")
     return dealt.mapInArrow(packer(capacity, capacity // 32), "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
 
