@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import FLOAT, INT, rank_of_type, value, VALUE
+from ..functions.values import FLOAT, INT, payload, rank_of_type, value, VALUE
 
 LOW, HIGH = -(1 << 63), (1 << 63) - 1
 
@@ -31,7 +31,8 @@ def typed(kind: str, field: str | None, schema: T.StructType) -> Column:
     rank = rank_of_type(known[field]) if field in known else None
     if rank not in (INT, FLOAT):
         return F.max(F.lit(None).cast("double"))
-    c = F.col(f"`{field}`") if rank == INT else finite(F.col(f"`{field}`").cast("double"))
+    c = payload(F.col(f"`{field}`"), known[field])
+    c = c if rank == INT else finite(c.cast("double"))
     if kind == "sum":
         return saturated(F.sum(c.cast("decimal(38,0)"))) if rank == INT else F.sum(c)
     if kind == "avg":

@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.errors import InvalidArgument
 from ..functions.values import FLOAT, INT, VALUE, literal, rank_of, value
-from .mutations import wrapped
+from .mutations import resolved, split, wrapped
 
 #: A patch: from the fields to the new fields and whether it suits them.
 Patch = Callable[[Column], tuple[Column, Column]]
@@ -31,7 +32,7 @@ def drop_field(name: str) -> Patch:
 def add_to_field(name: str, by: int | float) -> Patch:
     rank = rank_of(by)
     if rank not in (INT, FLOAT):
-        raise ValueError("an increment is a number")
+        raise InvalidArgument("an increment is a number")
 
     def patch(fields: Column) -> tuple[Column, Column]:
         old = fields[name]
@@ -53,19 +54,21 @@ def same_fields(a: Column, b: Column) -> Column:
     return F.coalesce((F.size(a) == F.size(b)) & F.forall(F.map_keys(a), lambda k: same(a[k], b[k])), F.lit(False))
 
 
-def update(base: DataFrame, wanted: DataFrame, key: str, expected: Column, patches: list[Patch], fields: str = "fields", absent_ok: bool = False, mismatch: str = "ExpectedFieldMismatch") -> tuple[DataFrame, DataFrame]:
+def update(base: DataFrame, wanted: DataFrame, key: str, expected: Column, patches: list[Patch], fields: str = "fields", absent_ok: bool = False, mismatch: str = "ExpectedFieldMismatch", order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """base (key, fields) after the update, and the keys refused with the reason.
 
-    wanted has a row for each key to update, with what `expected` refers to. A key that base lacks starts with no
-    field if absent_ok, else it is refused. Rows left without a field are gone.
+    wanted has a row for each key to update (the last by `order`), with what `expected` refers to. A key that base lacks
+    starts with no field if absent_ok, else it is refused like one whose condition fails. Rows left without a field are gone.
     """
-    joined = base.withColumn("_there", F.lit(True)).join(wanted.withColumn("_wanted", F.lit(True)), key, "full")
-    staged = joined.withColumn("_old", F.coalesce(fields, F.create_map().cast(f"map<string,{VALUE}>"))).withColumn("_new", F.col("_old")).withColumn("_suits", F.lit(True))
+    wanted = resolved(wanted, key, order)
+    joined, lacking = split(base, wanted, key)
+    none = F.create_map().cast(f"map<string,{VALUE}>")
+    joined = joined.withColumn("_there", F.lit(True)).unionByName(lacking.select("*", none.alias(fields), F.lit(True).alias("_wanted"), F.lit(False).alias("_there")), allowMissingColumns=True)
+    staged = joined.withColumn("_old", F.coalesce(fields, none)).withColumn("_new", F.col("_old")).withColumn("_suits", F.lit(True))
     for patch in patches:
         new, suits = patch(F.col("_new"))
         staged = staged.withColumn("_suits", F.col("_suits") & suits).withColumn("_new", new)
     met = F.when(F.col("_there"), F.coalesce(expected, F.lit(False))).otherwise(F.lit(absent_ok))
-    reason = F.when(~met, F.when(F.col("_there"), mismatch).otherwise("Missing")).when(~F.col("_suits"), "InvalidArgument")
-    staged = staged.withColumn("_reason", F.when(F.col("_wanted"), reason))
+    staged = staged.withColumn("_reason", F.when(F.col("_wanted"), F.when(~met, F.lit(mismatch)).when(~F.col("_suits"), "InvalidArgument")))
     after = staged.select(key, F.when(F.col("_wanted") & F.col("_reason").isNull(), F.col("_new")).otherwise(F.col("_old")).alias(fields)).where(F.size(fields) > 0)
     return after, staged.where("_reason is not null").select(key, F.col("_reason").alias("reason"))

@@ -7,24 +7,28 @@ limits the first one given counts, unless `strict` is off, which sorts by all of
 
 from __future__ import annotations
 
+import operator
+import re
 from dataclasses import dataclass, replace
 from functools import reduce
-import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import predicates, values
+from ..functions.errors import InvalidArgument
 from ..operators import aggregates
-
-
-class InvalidArgument(ValueError):
-    """A call that can't be right, whatever the data."""
+from ..operators.order import placed
+from ..sources.scratch import small
 
 
 @dataclass(frozen=True)
 class Collection:
-    """Rows with an id. With `fields` set the rows are dynamic: that column maps field names to values."""
+    """Rows with an id. With `fields` set the rows are dynamic: that column maps field names to values.
+
+    key: the column that the id is the text of, if there is one; lookups then compare it, so that they reach the scan.
+    """
 
     rows: DataFrame
     id: Column
@@ -32,12 +36,26 @@ class Collection:
     fields: str | None = None
     coerce: bool = False
     strict: bool = True
+    key: str | None = None
 
     def query(self) -> "Query":
         return Query(self)
 
     def get(self, key: str) -> DataFrame:
-        return self.rows.where(self.id == key)
+        if not self.key or not isinstance(self.rows.schema[self.key].dataType, T.IntegralType):
+            return self.rows.where(self.id == key)
+        if not re.fullmatch(r"0|-?[1-9]\d{0,18}", key) or not -(1 << 63) <= int(key) < 1 << 63:
+            return self.rows.where(F.lit(False))
+        return self.rows.where(F.col(self.key) == int(key))
+
+    def fetch(self, ids: DataFrame) -> DataFrame:
+        """The rows of ids (`id`), each once; ids without a row are dropped."""
+        ids = ids.select(F.col("id").alias("_id")).distinct()
+        if not self.key:
+            return self.rows.join(small(ids), self.id == F.col("_id"), "left_semi")
+        typed = F.expr(f"try_cast(_id as {self.rows.schema[self.key].dataType.simpleString()})").alias("_key")
+        ids = ids.select("_id", typed).where(F.col("_key").cast("string") == F.col("_id"))
+        return self.rows.join(small(ids.select("_key")), F.col(self.key) == F.col("_key"), "left_semi")
 
     def scan(self) -> DataFrame:
         return self.rows.orderBy(self.id)
@@ -48,14 +66,22 @@ class Collection:
     def find(self, name: str, op: str, value, high=None) -> DataFrame:
         """Ids of the rows whose field compares so with the value (op between: and with high)."""
         p = predicates.between(name, value, high) if op == "between" else predicates.Atom(op, name, value)
-        return self.rows.where(self.where(p)).select(self.id.alias("id")).distinct()
+        return self.rows.where(self.where(p)).select(self.id.alias("id"))
 
     def find_composite(self, bounds: list[tuple[str, object, object]]) -> DataFrame:
         """Ids whose fields lie within all (field, low, high); a bound of `...` is open. Only rows that have all the fields."""
         atoms = [p for name, low, high in bounds for p in ([predicates.ge(name, low)] if low is not ... else []) + ([predicates.le(name, high)] if high is not ... else [])]
         present = reduce(operator.and_, (self.value(name).isNotNull() for name, _, _ in bounds))
         rows = self.rows.where(present)
-        return (rows.where(self.where(reduce(operator.and_, atoms))) if atoms else rows).select(self.id.alias("id")).distinct()
+        return (rows.where(self.where(reduce(operator.and_, atoms))) if atoms else rows).select(self.id.alias("id"))
+
+    def sort_keys(self, name: str, down: bool) -> list[Column]:
+        """Absent fields first in rising order; -0.0 is below 0.0."""
+        v = self.value(name)
+        keys = [v]
+        if not self.fields and isinstance(self.rows.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            keys.append(~values.negative_zero(v.cast("double")))
+        return [k.desc_nulls_last() if down else k.asc_nulls_first() for k in keys]
 
     def value(self, name: str) -> Column:
         return F.col(self.fields)[name] if self.fields else F.col(f"`{name}`")
@@ -95,13 +121,13 @@ class Query:
         if self.filters:
             out = out.where(self.of.where(reduce(operator.and_, self.filters)))
         if self.sorts:
-            by = [self.of.value(n).desc_nulls_last() if down else self.of.value(n).asc_nulls_first() for n, down in (self.sorts[:1] if self.of.strict else self.sorts) if self.of.fields or n in self.of.rows.columns]
+            by = [k for n, down in (self.sorts[:1] if self.of.strict else self.sorts) if self.of.fields or n in self.of.rows.columns for k in self.of.sort_keys(n, down)]
             out = out.orderBy(*by, self.of.id.asc())
         if self.limits:
             n = self.limits[0]
             out = out.offset(self.skip).limit(n) if skip and self.skip else out.limit(n if skip else n + self.skip)
         elif self.skip and skip:
-            out = out.offset(self.skip)
+            out = placed(out, *out.columns).where(F.col("place") > self.skip).drop("place")
         return out
 
     def rows(self) -> DataFrame:
@@ -138,10 +164,20 @@ class Query:
 
     def explain(self) -> str:
         """What is asked for, a node a line; DataFrame.explain shows what Spark makes of it."""
-        nodes = ["FullScan"] + [f"Filter {p}" for p in self.filters] + [f"Sort {n} {'desc' if d else 'asc'}" for n, d in self.sorts[:1]] + [f"Limit {n}" for n in self.limits[:1]]
+        sorts = self.sorts[:1] if self.of.strict else self.sorts
+        nodes = ["FullScan"] + [f"Filter {predicates.described(p)}" for p in self.filters]
+        nodes += [f"Sort {', '.join(f'{n} {_way(d)}' for n, d in sorts)}"] if sorts else []
+        nodes += [f"Offset {self.skip}"] if self.skip else []
+        nodes += [f"Limit {n}" for n in self.limits[:1]]
+        nodes += [f"Project {', '.join(self.projection)}"] if self.projection else []
+        nodes += [f"Aggregate {self.aggregation[0]}({self.aggregation[1] or '*'})"] if self.aggregation else []
         return "\n".join("  " * k + x for k, x in enumerate(reversed(nodes)))
 
 
+def _way(down: bool) -> str:
+    return "desc" if down else "asc"
+
+
 def union_ids(*found: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, found).distinct()
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
-from ..functions.predicates import between, eq, ge, gt, is_not_null, is_null, isin, le, lt, ne
-from ..llm.common import save
-from ..operators import log, mutations
+from ..functions.predicates import between, eq, ge, gt, is_absent, is_not_null, is_null, isin, le, lt, ne
+from ..operators import aggregates, log, mutations
+from ..operators.order import placed
 from . import stored
 from .collection import Collection, assembled, dynamic_rows, union_ids
 
@@ -34,7 +35,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def orders(spark: SparkSession, sf_dir: str, **options) -> Collection:
-    return Collection(read(spark, sf_dir, "orders").select(*ORDER), F.col("o_orderkey").cast("string"), **options)
+    return Collection(read(spark, sf_dir, "orders").select(*ORDER), F.col("o_orderkey").cast("string"), key="o_orderkey", **options)
 
 
 def sparse(spark: SparkSession, sf_dir: str, null_mode: str = "absent") -> Collection:
@@ -83,6 +84,8 @@ SPARSE = {
     "missing_not_gt": (~gt("o_orderpriority", "2-HIGH"), f"{LOW} <= '2-HIGH' or {LOW} is null", "absent"),
     "missing_lt": (lt("o_orderpriority", "3"), f"{LOW} < '3'", "absent"),
     "missing_is_not_null": (is_not_null("o_orderpriority"), "true", "absent"),
+    "missing_is_absent": (is_absent("o_orderpriority"), f"{LOW} is null", "absent"),
+    "missing_is_not_absent": (~is_absent("o_orderpriority"), f"{LOW} is not null", "absent"),
     "null_is_null": (is_null("o_orderpriority"), f"{LOW} is null", "stored"),
     "null_is_not_null": (is_not_null("o_orderpriority"), f"{LOW} is not null", "stored"),
     "null_lt": (lt("o_orderpriority", "2"), f"{LOW} < '2' or {LOW} is null", "stored"),
@@ -99,18 +102,6 @@ def numbered(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(*columns, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
 
 
-def numbered_all(spark: SparkSession, rows: DataFrame, *columns: str) -> DataFrame:
-    """All sorted rows with their place: written by ranges, counted per range, numbered by offset and place inside."""
-    inside = (1 << 33) - 1  # the lower bits of the id count the rows of a range
-    held = save(spark, rows.select(*columns, F.monotonically_increasing_id().alias("_at")), "ordered").withColumn("_range", F.shiftright("_at", 33))
-    starts, total = [], 0
-    for part, n in sorted(map(tuple, held.groupBy("_range").count().collect())):
-        starts.append((part, total))
-        total += n
-    offsets = spark.createDataFrame(starts, "_part long, _offset long")
-    return held.join(F.broadcast(offsets), F.col("_range") == F.col("_part")).select(*columns, (F.col("_offset") + F.col("_at").bitwiseAND(inside) + 1).alias("place"))
-
-
 for _name, _down, _field, _nulls in (("topk_asc", False, "o_totalprice", "asc nulls first"), ("topk_desc", True, "o_totalprice", "desc nulls last"), ("missing_sort_asc", False, "o_orderpriority", "asc nulls first"), ("missing_sort_desc", True, "o_orderpriority", "desc nulls last")):
     query(f"select o_orderkey, p as {_field} from (select o_orderkey, {LOW if _field == 'o_orderpriority' else _field} as p from orders) order by p {_nulls}, o_orderkey::varchar limit 100", _name)(lambda spark, sf_dir, f=_field, d=_down: sparse(spark, sf_dir).query().sort(f, d).limit(100).rows().select("o_orderkey", f))
 
@@ -212,7 +203,7 @@ def cross_type_order(spark, sf_dir):
 @query("select id, row_number() over (order by k, i, f, s, id) as place from (select p_partkey::varchar as id, case p_partkey % 5 when 4 then 0 when 3 then 1 when 0 then 2 when 2 then 3 else 4 end as k, case when p_partkey % 5 = 0 then p_size end as i, case when p_partkey % 5 = 2 then p_retailprice end as f, case when p_partkey % 5 = 1 then p_brand end as s from part)")
 def cross_type_order_all(spark, sf_dir):
     """The order of all parts; cross_type_order stops where its SQL does."""
-    return numbered_all(spark, mixed(spark, sf_dir).query().sort("v").rows(), "id")
+    return placed(mixed(spark, sf_dir).query().sort("v").rows(), "id")
 
 
 @query("select p_partkey::varchar as id from part where p_partkey % 5 in (1, 2) or p_partkey % 5 = 0 and p_size > 20")
@@ -222,8 +213,8 @@ def cross_type_gt(spark, sf_dir):
 
 @query("select round(sum(case p_partkey % 5 when 0 then p_size when 2 then p_retailprice end), 2) as total, min(case p_partkey % 5 when 0 then p_size when 2 then p_retailprice end) as least, round(avg(case p_partkey % 5 when 0 then p_size when 2 then p_retailprice end), 6) as mean from part")
 def agg_mixed_promotes(spark, sf_dir):
-    one = lambda kind, name: mixed(spark, sf_dir).query().aggregate(kind, "v").result().select(F.col("result")["f"].alias(name))
-    return one("sum", "total").select(F.round("total", 2).alias("total")).join(one("min", "least")).join(one("avg", "mean").select(F.round("mean", 6).alias("mean")))
+    one = lambda kind: aggregates.dynamic(kind, "v")["f"]
+    return mixed(spark, sf_dir).rows.agg(F.round(one("sum"), 2).alias("total"), one("min").alias("least"), F.round(one("avg"), 6).alias("mean"))
 
 
 for _name, _args, _sql in (("index_find_eq", ("o_custkey", "eq", 77), "o_custkey = 77"), ("index_find_range", ("o_totalprice", "ge", 4e5), "o_totalprice >= 400000"), ("index_find_between", ("o_custkey", "between", 10, 20), "o_custkey between 10 and 20")):
@@ -329,7 +320,7 @@ def cas_patch_increment_remove(spark, sf_dir):
     return cas(spark, sf_dir)[0]
 
 
-@query("select o_orderkey + case when o_orderkey % 2 = 0 then 0 else 100000000 end as o_orderkey, case when o_orderkey % 2 = 0 then 'ExpectedFieldMismatch' else 'Missing' end as reason from orders where o_orderkey % 5 = 0 and (o_orderkey % 2 = 1 or o_orderstatus <> 'O')")
+@query("select o_orderkey + case when o_orderkey % 2 = 0 then 0 else 100000000 end as o_orderkey, 'ExpectedFieldMismatch' as reason from orders where o_orderkey % 5 = 0 and (o_orderkey % 2 = 1 or o_orderstatus <> 'O')")
 def cas_conflicts(spark, sf_dir):
     return cas(spark, sf_dir)[1]
 
@@ -338,3 +329,83 @@ def cas_conflicts(spark, sf_dir):
 def sql_with_parameters(spark, sf_dir):
     """Text queries are Spark SQL with named parameters."""
     return spark.sql("select o_orderkey, o_totalprice from {t} where o_totalprice >= :least and o_orderstatus in (:a, :b) order by o_totalprice, o_orderkey limit 25 offset 5", args={"least": 123456.5, "a": "O", "b": "P"}, t=read(spark, sf_dir, "orders"))
+
+
+# The largest table, by time.
+LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate"]
+LINE_ID = "l_orderkey::varchar || '-' || l_linenumber::varchar"
+FROM, TO = datetime.date(1995, 3, 1), datetime.date(1995, 9, 15)
+DATES = f"l_shipdate >= timestamp '{FROM}' and l_shipdate <= timestamp '{TO}'"
+
+
+def lines(spark: SparkSession, sf_dir: str, **options) -> Collection:
+    return Collection(read(spark, sf_dir, "lineitem").select(*LINE), F.concat_ws("-", "l_orderkey", "l_linenumber"), **options)
+
+
+@query(f"select l_orderkey, l_linenumber, l_extendedprice from lineitem where {DATES} and l_returnflag = 'R' and l_quantity >= 30 order by l_extendedprice desc, {LINE_ID} limit 50")
+def line_dear_returns(spark, sf_dir):
+    p = between("l_shipdate", FROM, TO) & eq("l_returnflag", "R") & ge("l_quantity", 30.0)
+    return lines(spark, sf_dir).query().filter(p).sort("l_extendedprice", True).limit(50).rows().select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"select l_orderkey, l_linenumber, l_shipdate from lineitem order by l_shipdate desc nulls last, {LINE_ID} limit 40")
+def line_newest(spark, sf_dir):
+    return lines(spark, sf_dir).query().sort("l_shipdate", True).limit(40).rows().select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
+@query(f"select {LINE_ID} as id from lineitem where l_returnflag = 'A' and {DATES}")
+def line_composite_find(spark, sf_dir):
+    return lines(spark, sf_dir).find_composite([("l_returnflag", "A", "A"), ("l_shipdate", FROM, TO)])
+
+
+@query(f"select round(sum(l_extendedprice), 2) as result from lineitem where not ({DATES})")
+def line_sum_outside_dates(spark, sf_dir):
+    return lines(spark, sf_dir).query().filter(~between("l_shipdate", FROM, TO)).aggregate("sum", "l_extendedprice").result().select(F.round("result", 2).alias("result"))
+
+
+@query("select epoch_us(max(l_shipdate)) as result from lineitem where l_quantity < 10")
+def line_latest_as_int(spark, sf_dir):
+    return lines(spark, sf_dir).query().filter(lt("l_quantity", 10.0)).aggregate("max", "l_shipdate").result()
+
+
+@query(f"select {LINE_ID} as id from lineitem where l_shipdate > timestamp '{TO}' and l_discount >= 0.05")
+def line_dynamic_dates(spark, sf_dir):
+    of = lines(spark, sf_dir)
+    rows = dynamic_rows(of.rows, of.id, ["l_shipdate", "l_discount", "l_returnflag"])
+    return Collection(rows, F.col("id"), fields="fields").query().filter(gt("l_shipdate", TO) & ge("l_discount", 0.05)).rows().select("id")
+
+
+@query("select l_returnflag, count(*) as lines, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue, max(l_shipdate) as latest from lineitem group by l_returnflag")
+def line_revenue_by_flag(spark, sf_dir):
+    return lines(spark, sf_dir).rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("lines"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), F.max("l_shipdate").alias("latest"))
+
+
+def zeros(spark: SparkSession, sf_dir: str) -> Collection:
+    """Lines with a discount of -0.0, 0.0 or what it was."""
+    of, k = lines(spark, sf_dir), F.col("l_linenumber") % 3
+    return Collection(of.rows.withColumn("l_discount", F.when(k == 0, F.lit(-0.0)).when(k == 1, F.lit(0.0)).otherwise(F.col("l_discount"))), of.id)
+
+
+for _name, _p, _sql in (("zero_lt", lt("l_discount", 0.0), "l_linenumber % 3 = 0"), ("zero_eq", eq("l_discount", 0.0), "l_linenumber % 3 = 1 or l_linenumber % 3 = 2 and l_discount = 0"), ("zero_not_le_negative", ~le("l_discount", -0.0), "l_linenumber % 3 <> 0")):
+    query(f"select {LINE_ID} as id from lineitem where {_sql}", _name)(lambda spark, sf_dir, p=_p: zeros(spark, sf_dir).query().filter(p).project("l_discount").rows().select("id"))
+
+
+@query("select o_orderkey, o_totalprice from orders order by o_totalprice, o_orderkey::varchar offset 100")
+def offset_without_limit(spark, sf_dir):
+    return orders(spark, sf_dir).query().sort("o_totalprice").offset(100).rows().select("o_orderkey", "o_totalprice")
+
+
+@query("select o_orderkey, case when o_orderkey % 7 = 0 then 3.0 else o_totalprice end as o_totalprice, o_orderstatus from orders where o_orderkey % 7 <> 0 or o_orderkey % 2 = 0")
+def tx_several_writes(spark, sf_dir):
+    """A transaction that writes each seventh order three times, the odd ones' last write being a delete."""
+    base = orders(spark, sf_dir).rows.select(*ROW.split(", "))
+    writes = base.where("o_orderkey % 7 = 0").withColumn("step", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    writes = writes.withColumn("o_totalprice", F.col("step").cast("double")).withColumn("deleted", (F.col("step") == 3) & (F.col("o_orderkey") % 2 == 1))
+    return mutations.overlaid(base, writes, "o_orderkey", order="step")
+
+
+@query("select o_orderkey, case when o_orderkey % 5 = 0 then o_orderkey % 5 + 2 else o_custkey end as o_custkey from orders")
+def cas_last_write_counts(spark, sf_dir):
+    base = orders(spark, sf_dir).rows.select("o_orderkey", "o_custkey")
+    wanted = base.where("o_orderkey % 5 = 0").select("o_orderkey", F.explode(F.array(F.lit(1), F.lit(2))).alias("step")).withColumn("to", F.col("step").cast("long"))
+    return mutations.compare_and_set(base, wanted, "o_orderkey", F.lit(True), {"o_custkey": F.col("to")}, order="step")[0]

@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.predicates import gt
 from ..functions import values
 from ..operators import log, mutations, patches
-from ..sources.changes import ChangeLog
-from ..sources.folder import Folder
+from ..sources.scratch import new_path
 from ..streaming import upsert
 from .collection import Collection, dynamic_rows
 
@@ -21,11 +17,6 @@ KEPT = ("event_type", "value")
 LIVE = "select user_id, event_type, value from (select *, row_number() over (partition by user_id order by event_id desc) as n from events) where n = 1 and event_type <> 'error'"
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; in a temporary one only where none is set (local tests)."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='tarnlake-')}/{name}-{uuid.uuid4().hex}"
-
-
 def changes(rows: DataFrame) -> DataFrame:
     return rows.select("event_id", "user_id", "event_type", "value", (F.col("event_type") == "error").alias("deleted"))
 
@@ -38,33 +29,31 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The change log read as a stream and folded batch by batch."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     stream = changes(spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir}/events.parquet*"))
-    out = scratch(spark, "stream")
+    out = new_path(spark, "stream")
     upsert.upsert(stream, f"{out}/state", f"{out}/checkpoint", *KEYS, *KEPT).awaitTermination()
     return upsert.state(spark, f"{out}/state", *KEYS, *KEPT)
 
 
 def compact_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log compacted to disjoint key ranges, and read again."""
-    out = scratch(spark, "compacted")
+    out = new_path(spark, "compacted")
     log.compact(changes(spark.read.parquet(f"{sf_dir}/events.parquet")), *KEYS, *KEPT, path=out)
     return spark.read.parquet(out)
 
 
 def folder_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection saved, replaced, backed up and opened from the backup."""
-    one, two = Folder(spark, scratch(spark, "folder")), scratch(spark, "backup")
-    rows = orders(spark, sf_dir)
-    one.save("orders", rows.where("o_orderkey % 2 = 0"))
-    one.save("orders", rows, [["o_custkey"]])
-    one.copy(two)
-    return Folder(spark, two).open("orders")
+    """A collection saved, replaced, backed up and read from the backup: Parquet folders, the later one in key order."""
+    rows, kept, backup = orders(spark, sf_dir), new_path(spark, "collection"), new_path(spark, "backup")
+    rows.where("o_orderkey % 2 = 0").write.parquet(kept)
+    rows.repartitionByRange("o_custkey").sortWithinPartitions("o_custkey").write.mode("overwrite").parquet(kept)
+    spark.read.parquet(kept).write.parquet(backup)
+    return spark.read.parquet(backup)
 
 
 def fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of found ids; ids without a row are dropped."""
-    of = Collection(orders(spark, sf_dir), F.col("o_orderkey").cast("string"))
-    ids = of.find("o_custkey", "between", 10, 20).unionByName(spark.createDataFrame([("none",)], "id string"))
-    return of.rows.join(ids, of.id == ids["id"], "left_semi")
+    of = Collection(orders(spark, sf_dir), F.col("o_orderkey").cast("string"), key="o_orderkey")
+    return of.fetch(of.find("o_custkey", "between", 10, 20).unionByName(spark.createDataFrame([("none",), ("007",)], "id string")))
 
 
 def wanted(rows: DataFrame) -> DataFrame:
@@ -111,30 +100,34 @@ def group_by_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders(spark, sf_dir).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.max("o_custkey").alias("highest"))
 
 
+def written(rows: DataFrame, tx: int, step: int, kind: str = "put") -> DataFrame:
+    """Rows of a log: writes of a transaction, its deletes, or the row that commits it."""
+    return rows.select(F.struct(F.lit(tx).alias("tx"), F.lit(step).alias("step")).alias("at"), F.lit(kind).alias("kind"), *(F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("o_orderkey", "long"), ("o_custkey", "long"), ("o_orderstatus", "string"))))
+
+
+def live(rows: DataFrame) -> DataFrame:
+    """What committed transactions left."""
+    counted = log.replayed(rows, F.col("at.tx"), F.col("kind") == "commit").where("kind <> 'commit'")
+    return log.merged(counted.withColumn("deleted", F.col("kind") == "delete"), "o_orderkey", "at", "deleted", "o_custkey", "o_orderstatus")
+
+
 def tx_commit_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log after three transactions: all orders; changes to every seventh and deletes of every eleventh; deletes of all, aborted."""
-    rows = orders(spark, sf_dir)
-    kept = ChangeLog(spark, scratch(spark, "log"), "o_orderkey", "o_orderkey long, o_custkey long, o_orderstatus string")
-    with kept.transaction() as tx:
-        tx.put(rows)
-    with kept.transaction() as tx:
-        tx.put(rows.where("o_orderkey % 7 = 0").drop("o_custkey"))
-        tx.delete(rows.where("o_orderkey % 11 = 0"))
-    lost = kept.transaction()
-    lost.delete(rows)
-    lost.abort()
-    return kept.state()
+    """A log with three transactions: all orders; changes to every seventh and deletes of every eleventh; deletes of all, without a commit."""
+    rows, end = orders(spark, sf_dir), spark.range(1).select()
+    parts = [written(rows, 1, 1), written(end, 1, 2, "commit"), written(rows.where("o_orderkey % 7 = 0").drop("o_custkey"), 2, 1), written(rows.where("o_orderkey % 11 = 0"), 2, 2, "delete"), written(end, 2, 3, "commit"), written(rows, 3, 1, "delete")]
+    path = new_path(spark, "log")
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return live(spark.read.parquet(path))
 
 
 def log_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A log with a transaction that was never committed, compacted."""
-    rows = orders(spark, sf_dir)
-    kept = ChangeLog(spark, scratch(spark, "log"), "o_orderkey", "o_orderkey long, o_custkey long, o_orderstatus string")
-    with kept.transaction() as tx:
-        tx.put(rows)
-        tx.delete(rows.where("o_orderstatus = 'P'"))
-    kept.transaction().put(rows)
-    return kept.compact(scratch(spark, "log")).state()
+    """A log with a transaction that was never committed, compacted to its live rows in key order."""
+    rows, end = orders(spark, sf_dir), spark.range(1).select()
+    whole = written(rows, 1, 1).unionByName(written(rows.where("o_orderstatus = 'P'"), 1, 2, "delete")).unionByName(written(end, 1, 3, "commit")).unionByName(written(rows, 2, 1))
+    path = new_path(spark, "log")
+    live(whole).repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def documents_of(rows: DataFrame) -> DataFrame:
@@ -182,13 +175,10 @@ def project_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def index_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A collection given an index of two fields, which orders its files, asked for a range of them."""
-    kept = Folder(spark, scratch(spark, "folder"))
-    kept.save("orders", orders(spark, sf_dir))
-    kept.create_index("orders", ["o_orderstatus", "o_custkey"])
-    kept.create_index("orders", ["o_custkey"])
-    kept.drop_index("orders", ["o_custkey"])
-    of = Collection(kept.open("orders"), F.col("o_orderkey").cast("string"))
+    """A collection rewritten in the order of two fields, by whose ranges a scan then skips files, asked for a range of them."""
+    path = new_path(spark, "collection")
+    orders(spark, sf_dir).repartitionByRange("o_orderstatus", "o_custkey").sortWithinPartitions("o_orderstatus", "o_custkey").write.parquet(path)
+    of = Collection(spark.read.parquet(path), F.col("o_orderkey").cast("string"), key="o_orderkey")
     return of.find_composite([("o_orderstatus", "P", "P"), ("o_custkey", 50, 900)])
 
 
@@ -208,7 +198,7 @@ ORACLE_SQL = {
     "tx_commit_abort": "select o_orderkey, case when o_orderkey % 7 <> 0 then o_custkey end as o_custkey, o_orderstatus from orders where o_orderkey % 11 <> 0",
     "log_compact": "select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus <> 'P'",
     "patch_steps": "select o_orderkey::varchar as id, (case when not hit then o_custkey when o_custkey = 0 then 9223372036854775807 else -9223372036854775808::hugeint + o_custkey - 1 end)::bigint as o_custkey, case when not hit then nullif(o_orderstatus, 'F') end as o_orderstatus, case when hit then 'seen' end as note, (case when hit or o_orderstatus <> 'F' then 2 else 1 end)::int as n from (select *, o_orderkey % 3 = 0 and o_orderstatus = 'O' as hit from orders)",
-    "patch_conflicts": "select o_orderkey::varchar as id, 'ExpectedFieldMismatch' as reason from orders where o_orderkey % 3 = 0 and o_orderstatus <> 'O' union all select 'none', 'Missing'",
+    "patch_conflicts": "select o_orderkey::varchar as id, 'ExpectedFieldMismatch' as reason from orders where o_orderkey % 3 = 0 and o_orderstatus <> 'O' union all select 'none', 'ExpectedFieldMismatch'",
     "patch_invalid": "select o_orderkey::varchar as id, 'InvalidArgument' as reason from orders",
     "cas_whole_dynamic": "select o_orderkey::varchar as id, 'ExpectedValueMismatch' as reason from orders where o_orderkey % 4 = 0 and o_orderstatus <> 'F'",
     "project_entries": "select o_orderkey::varchar as id, case when o_orderstatus = 'F' then 'o_custkey=' || o_custkey else 'o_orderstatus=' || o_orderstatus || ' o_custkey=' || o_custkey || ' o_orderstatus=' || o_orderstatus end as line from orders",

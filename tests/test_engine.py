@@ -1,17 +1,20 @@
 """The engine against DuckDB on the given tables, and against a naive model on rows with absent, null and mixed fields."""
 
+import datetime
 import operator
 import random
+from decimal import Decimal
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tarnlake.functions import values
-from tarnlake.functions.predicates import Atom, Tree, is_not_null, is_null
+from tarnlake.functions.errors import Conflict
+from tarnlake.functions.predicates import Atom, Tree, eq, ge, gt, is_not_null, is_null, le, lt, ne
+from tarnlake.operators import mutations
 from tarnlake.plans import queries
-from tarnlake.plans.collection import Collection, InvalidArgument
-from tarnlake.sources.folder import Folder
+from tarnlake.plans.collection import Collection, InvalidArgument, dynamic_rows
 from tarnlake.streaming.upsert import state, upsert
 
 DIR = "/root/testdata/sf0.001"
@@ -28,7 +31,7 @@ def rows_of(frame):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("orders", "part", "events"):
+    for t in ("orders", "part", "events", "lineitem"):
         con.sql(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     assert rows_of(queries.QUERIES[name](spark, DIR).toPandas()) == rows_of(con.sql(queries.ORACLE_SQL[name]).df())
 
@@ -91,10 +94,10 @@ def test_dynamic_predicates_and_order_match_the_model(spark):
 @pytest.mark.parametrize("mode", ["absent", "stored"])
 def test_typed_predicates_match_the_model(spark, mode):
     rng = random.Random(3)
-    data = [(i, rng.choice([None, -2, 0, 3, 9]), rng.choice([None, -1.5, 0.0, 4.0, float("nan")]), rng.choice([None, "a", "b", "ü"])) for i in range(40)]
+    data = [(i, rng.choice([None, -2, 0, 3, 9]), rng.choice([None, -1.5, 0.0, -0.0, 4.0, float("nan")]), rng.choice([None, "a", "b", "ü"])) for i in range(40)]
     df = spark.createDataFrame(data, "k long, i long, f double, s string")
     of = Collection(df, F.col("k").cast("string"), mode)
-    pool = [None, True, 0, 3, 4.0, 0.5, "a", "c", b"q"]
+    pool = [None, True, 0, 3, 4.0, 0.5, 0.0, -0.0, "a", "c", b"q"]
     tests = [random_predicate(rng, ["i", "f", "s", "none"], pool) for _ in range(80)]
     for r in of.rows.select("*", *(of.where(p).alias(f"t{n}") for n, p in enumerate(tests))).collect():
         row = {c: r[c] for c in ("i", "f", "s") if r[c] is not None or mode == "stored"}
@@ -122,19 +125,6 @@ def test_filter_reaches_the_scan_and_limit_is_top_k(spark):
     assert "TakeOrderedAndProject" in plan and "GreaterThanOrEqual(o_totalprice,250000.0)" in plan
 
 
-def test_folder_saves_backs_up_and_collects_garbage(spark, tmp_path):
-    one = Folder(spark, str(tmp_path / "one"))
-    one.save("t", spark.range(5), [["id"]])
-    one.save("t", spark.range(7), [["id"]])
-    assert one.open("t").count() == 7
-    assert one.collect_garbage() == 1
-    one.copy(str(tmp_path / "two"))
-    assert Folder(spark, str(tmp_path / "two")).open("t").count() == 7
-    with pytest.raises(ValueError):
-        one.copy(str(tmp_path / "two"))
-    assert [tuple(r)[::2] for r in one.inspect().collect()] == [("t", 7)]
-
-
 def test_streamed_changes_fold_to_the_newest(spark, tmp_path):
     rows = queries.changes(spark, DIR)
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
@@ -142,3 +132,46 @@ def test_streamed_changes_fold_to_the_newest(spark, tmp_path):
     upsert(stream, str(tmp_path / "out"), str(tmp_path / "cp"), "user_id", "event_id", "deleted", "event_type", "value").awaitTermination(120)
     got = state(spark, str(tmp_path / "out"), "user_id", "event_id", "deleted", "event_type", "value").toPandas()
     assert rows_of(got) == rows_of(queries.lww_merge(spark, DIR).toPandas())
+
+
+def test_repeated_keys_need_an_order(spark):
+    base = spark.createDataFrame([(1, 10), (2, 20), (3, 30)], "k long, v long")
+    twice = spark.createDataFrame([(1, 11, False, 1), (1, 12, False, 2), (4, 40, False, 1), (2, None, True, 5)], "k long, v long, deleted boolean, step int")
+    assert sorted(map(tuple, mutations.overlaid(base, twice, "k", order="step").collect())) == [(1, 12), (3, 30), (4, 40)]
+    with pytest.raises(Exception, match="several writes"):
+        mutations.overlaid(base, twice.drop("step"), "k").collect()
+    after, conflicts = mutations.compare_and_set(base, twice.drop("deleted").withColumnRenamed("v", "to"), "k", F.col("v") > 10, {"v": F.col("to")}, order="step")
+    assert sorted(map(tuple, after.collect())) == [(1, 10), (2, None), (3, 30)]
+    assert sorted(map(tuple, conflicts.collect())) == [(1, "ExpectedFieldMismatch"), (4, "ExpectedFieldMismatch")]
+    with pytest.raises(Conflict) as got:
+        mutations.require_none(conflicts, "t", "k")
+    assert (got.value.collection, got.value.id, got.value.reason) == ("t", "1", "ExpectedFieldMismatch")
+
+
+def test_lookups_reach_the_scan_without_a_shuffle(spark):
+    of = queries.orders(spark, DIR)
+    plan = of.get("7")._jdf.queryExecution().toString()
+    assert "EqualTo(o_orderkey,7)" in plan and [r.o_orderkey for r in of.get("7").collect()] == [7]
+    assert all(of.get(x).count() == 0 for x in ("07", "-0", "x", "", "9" * 30))
+    assert "Exchange" not in of.find("o_custkey", "eq", 5)._jdf.queryExecution().executedPlan().toString()
+    after = queries.cas(spark, DIR)[0]
+    assert "SortMergeJoin" not in after._jdf.queryExecution().executedPlan().toString()
+
+
+def test_dates_and_decimals(spark):
+    day = datetime.date
+    rows = spark.createDataFrame([(1, day(2020, 1, 1), Decimal("1.50"), datetime.datetime(2020, 1, 1, 12)), (2, day(2020, 1, 2), Decimal("-2.25"), datetime.datetime(2020, 1, 2)), (3, None, None, None)], "k long, d date, n decimal(10,2), t timestamp_ntz")
+    of = Collection(rows, F.col("k").cast("string"))
+    found = lambda p: [r.k for r in of.query().filter(p).sort("k").rows().collect()]
+    noon = datetime.datetime(2020, 1, 1, 12)
+    assert found(le("d", noon)) == [1] and found(lt("d", noon)) == [1] and found(ge("d", noon)) == [2] and found(eq("d", noon)) == [] and found(ne("d", noon)) == [1, 2, 3]
+    assert found(lt("d", day(2020, 1, 2))) == [1] and found(eq("d", day(2020, 1, 2))) == [2]
+    assert found(gt("t", day(2020, 1, 1))) == [1, 2] and found(eq("t", noon)) == [1] and found(gt("n", 0.0)) == [1] and found(lt("d", 1.5)) == [1, 2]
+    assert of.query().aggregate("max", "d").result().first()[0] == values.plain(day(2020, 1, 2))
+    dynamic = Collection(dynamic_rows(rows, of.id, ["d", "n", "t"]), F.col("id"), fields="fields")
+    assert [r["id"] for r in dynamic.query().filter(ge("t", noon) & lt("n", 0.0)).rows().collect()] == ["2"]
+
+
+def test_explain_names_bounds_and_directions(spark):
+    q = queries.orders(spark, DIR).query().filter(ge("o_totalprice", 5.0) & ~eq("o_orderstatus", "F")).sort("o_custkey", True).offset(3).limit(2)
+    assert q.explain().split("\n") == ["Limit 2", "  Offset 3", "    Sort o_custkey desc", "      Filter o_totalprice >= 5.0 AND (NOT (o_orderstatus = 'F'))", "        FullScan"]

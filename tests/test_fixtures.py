@@ -3,13 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tarnlake import __main__ as command
 from tarnlake.functions import values
 from tarnlake.functions.predicates import eq, ge, gt, is_not_null, is_null, isin, lt, ne
 from tarnlake.operators import patches
 from tarnlake.plans.collection import Collection, InvalidArgument
-from tarnlake.sources.changes import ChangeLog
-from tarnlake.sources.folder import Folder
 
 INF, NAN = float("inf"), float("nan")
 # fixed values
@@ -127,7 +124,7 @@ def test_conditions_and_patches(spark):
 
     rows, refused = run(F.lit(True), [patches.add_to_field("age", 1)])
     assert rows == {"a": {"age": -(2**63)}, "b": {"age": 1.5}, "c": {"name": "c"}}
-    assert refused == {"b": "InvalidArgument", "c": "InvalidArgument", "d": "Missing"}
+    assert refused == {"b": "InvalidArgument", "c": "InvalidArgument", "d": "ExpectedFieldMismatch"}
     rows, refused = run(F.lit(True), [patches.put_field("n", 1), patches.add_to_field("n", 4), patches.drop_field("age")], absent_ok=True)
     assert rows == {"a": {"n": 5}, "b": {"n": 5}, "c": {"n": 5, "name": "c"}, "d": {"n": 5}} and not refused
     rows, refused = run(F.lit(True), [patches.drop_field("name")])
@@ -137,48 +134,3 @@ def test_conditions_and_patches(spark):
     assert run(patches.same(x, values.literal(NAN)), [])[1].keys() == {"a", "b", "c", "d"}
     with pytest.raises(ValueError):
         patches.add_to_field("n", "1")
-
-
-def test_transactions(spark, tmp_path):
-    rows = lambda *x: spark.createDataFrame([*x], "k string, a long, b string")
-    of = ChangeLog(spark, str(tmp_path / "log"), "k", "k string, a long, b string")
-    seen = lambda df: sorted(map(tuple, df.collect()), key=str)
-    assert seen(of.state()) == []
-    with of.transaction() as tx:
-        tx.put(rows(("u", 1, "x"), ("v", 2, "y")))
-        tx.put(rows(("v", 3, "z")).drop("b"))
-        assert seen(tx.view()) == [("u", 1, "x"), ("v", 3, None)] and seen(of.state()) == []
-    with pytest.raises(ValueError):
-        tx.commit()
-    with pytest.raises(RuntimeError):
-        with of.transaction() as tx:
-            tx.delete(rows(("u", None, None)))
-            assert seen(tx.view()) == [("v", 3, None)]
-            raise RuntimeError
-    again = ChangeLog(spark, str(tmp_path / "log"), "k", "k string, a long, b string")
-    assert seen(again.state()) == [("u", 1, "x"), ("v", 3, None)]
-    with again.transaction() as tx:
-        assert tx.number == 3  # the number of the aborted one is not used again
-        tx.delete(rows(("u", None, None)))
-    small = again.compact(str(tmp_path / "small"))
-    assert seen(small.state()) == seen(again.state()) == [("v", 3, None)]
-    assert small.rows().where("kind = 'put'").count() == 1 and small.transaction().number == 4
-
-
-def test_folder_from_the_command_line(spark, tmp_path, capsys):
-    one, two, three = (str(tmp_path / x) for x in ("one", "two", "three"))
-    folder = Folder(spark, one)
-    folder.save("t", spark.range(50))
-    folder.create_index("t", ["id"])
-    folder.create_index("t", ["id"])
-    folder.drop_index("t", ["other"])
-    assert folder.catalog()["collections"]["t"]["indexes"] == [["id"]]
-    assert command.main(["inspect", "--dir", one], spark) == 0 and "50" in capsys.readouterr().out
-    assert command.main(["gc", "--dir", one], spark) == 0 and "removed 1" in capsys.readouterr().out
-    assert command.main(["backup", two, "--dir", one], spark) == 0
-    assert command.main(["backup", two, "--dir", one], spark) == 1  # it is there
-    assert command.main(["restore", two, "--dir", three], spark) == 0
-    assert Folder(spark, three).open("t").count() == 50
-    with pytest.raises(SystemExit) as end:
-        command.main(["backup", "--dir", one], spark)
-    assert end.value.code == 2
