@@ -1,40 +1,47 @@
-"""The training-data pipeline: five stages over documents, each written as Parquet and read again for the next."""
+"""The training-data pipeline: five stages over documents, each written as Parquet and read again for the next.
 
-from __future__ import annotations
+Every stage takes all rows that the one before kept. An empty table goes through empty. Further columns pass through all
+stages but the last.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlake import ship
 from tarnlake.llm import near_copies, op1_packing, op6_mixing, op7_toxicity, op10_language_id
-from tarnlake.llm.common import shared_dir, table
+from tarnlake.llm.common import empty_saved, saved_so_far, table
+from tarnlake.sources.scratch import new_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters, in a language that the model can tell."""
+    """Documents in a language that the model knows, with lang set to it; null, empty and letterless texts go. Repeated rows are judged each."""
     ship(spark)
     return op10_language_id.accepted(spark, docs)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents below the toxicity threshold of their language."""
+    """Documents below the toxicity threshold of their language. Null texts score what no word does; repeated rows score alike."""
     return op7_toxicity.clean(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard likeness of 0.8 at least."""
+    """One document of each group of near copies: five-word shingles, Jaccard likeness of 0.8 at least.
+
+    The one of the smallest id stays (of the smallest text hash where ids tie; null ids last). Null and empty texts are
+    one group. Texts that share an id and are no near copies all stay.
+    """
     ship(spark)
     return near_copies.keep_one(spark, docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents by the budget of their domain, language and source."""
+    """Documents by the budget of their domain, language and source; null ones are a leaf of their own. Rows that share an id stand at one place of its order."""
     return op6_mixing.mixed(spark, docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens, placed in sequences."""
+    """Pieces of at most 4096 tokens, placed in sequences. A null or empty text is its end token; repeated rows are packed each."""
     ship(spark)
     return op1_packing.digest(op1_packing.pack(docs))
 
@@ -47,7 +54,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path, before = new_path(spark, f"pipeline-{name}"), saved_so_far()
         stage(spark, docs, sf_dir).write.parquet(path)
+        empty_saved(spark, before)  # what the stage wrote on its way
         docs = spark.read.parquet(path)
     return docs

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,9 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import ship
+from ..sources.scratch import new_path, small  # noqa: F401  # operators take both from here
 
-#: Temporary folders of sessions without spark.checkpoint.dir, which can't be set on a running session.
-_local: dict[str, str] = {}
 #: Paths and schemas of saved tables, in order.
 _saved: list[tuple] = []
 
@@ -26,22 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set and all runs in one process (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir is not set; it must name a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="tarnlake-")
-    return _local[app]
-
-
 def save(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     _saved.append((path, df.schema))
     return spark.read.schema(df.schema).parquet(path)
@@ -62,11 +45,6 @@ def fits(df: DataFrame, rows: int = 50_000) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """A broadcast hint if df, counted here, has at most so many (narrow) rows; else df as it is, for a shuffled join."""
-    return F.broadcast(df) if fits(df, rows) else df
-
-
 def looked_up(spark: SparkSession, rows: DataFrame, named: DataFrame, on: list[str], how: str = "inner", hot: int = 10_000, few: int = 50_000) -> DataFrame:
     """rows joined with `named`, which has one narrow row for each key.
 
