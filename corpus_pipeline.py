@@ -47,7 +47,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("toxicity", toxicity), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
-#: Models, fingerprints and a tokenizer are beyond SQL; tests compare each stage with a brute-force version.
+#: Models, fingerprints and a tokenizer are beyond SQL; tests/llm/test_pipeline_plain.py and test_near_copies.py compare each stage with a brute-force version.
 ORACLE_SQL = None
 
 

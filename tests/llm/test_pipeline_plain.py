@@ -1,0 +1,220 @@
+"""Every stage of the pipeline against a plain form without Spark, each on what the stage before kept. (Near-dedup, on planted copies: test_near_copies.)"""
+
+import hashlib
+import math
+import re
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tarnlake import ship
+from tarnlake.llm import op1_packing, op6_mixing, op7_toxicity, op10_language_id
+
+DIR = "/root/testdata/sf0.001"
+ODD = ["", None, "12345 !!", "Привет мир, как дела сегодня у вас", "日本語の文章です", "zzqx " * 4]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    ship(spark)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(120)
+    odd = spark.createDataFrame([(10_000 + i, t, "en", "src1", len(t or "")) for i, t in enumerate(ODD)], docs.schema)
+    return spark.createDataFrame(docs.unionByName(odd).collect(), docs.schema)
+
+
+@pytest.fixture(scope="module")
+def stages(spark, docs):
+    """(input, output) of each stage as lists of rows."""
+    out, held = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        rows = stage(spark, held, DIR).collect()
+        out[name] = (held.collect(), rows)
+        held = spark.createDataFrame(rows, docs.schema) if name != "packing" else None
+    return out
+
+
+def letter_words(text):
+    import regex
+
+    return regex.findall(r"[\p{L}\p{M}]+", (text or "").lower())
+
+
+def test_every_segmentation_is_summed():
+    """Against a list of all of them."""
+    pieces = op10_language_id.vocabulary(public_tokenizers.path(op10_language_id.VOCABULARY))
+    n = len(pieces.keys)
+    p = np.concatenate([np.random.default_rng(1).random((n, 1)) / n, [[1e-7]], [[0.0]]])
+    index = {int(k): i for i, k in enumerate(pieces.keys)}
+    number = lambda x: index.get(int(op10_language_id.hashes(np.array([[ord(c) for c in x]], np.uint32))[0]), n if len(x) == 1 else None)
+    for word in ("another", "straße", "été", "xq"):
+        w, total = op10_language_id.MARK + word, 0.0
+        for cuts in range(1 << (len(w) - 1)):
+            parts, a = [], 0
+            for i in range(1, len(w) + 1):
+                if i == len(w) or cuts >> (i - 1) & 1:
+                    parts.append(w[a:i])
+                    a = i
+            at = [number(x) for x in parts]
+            if None not in at:
+                total += math.prod(p[i, 0] for i in at)
+        assert math.isclose(op10_language_id.Lattice([w], pieces).forward(p)[0, 0], math.log(total), rel_tol=1e-9)
+
+
+def test_language(spark, docs, stages):
+    before, after = stages["language"]
+    names, pieces, p = op10_language_id.fit(spark, docs, public_tokenizers.path(op10_language_id.VOCABULARY), F.lit(True))
+    index, longest = {int(k): i for i, k in enumerate(pieces.keys)}, pieces.longest
+    known = {}
+
+    def word(w):
+        """Log probability by language, one language and one letter at a time."""
+        if w not in known:
+            m, out = op10_language_id.MARK + w, []
+            found = [[(k, index.get(int(op10_language_id.hashes(np.array([[ord(c) for c in m[j - k : j]]], np.uint32))[0]), len(index) if k == 1 else None)) for k in range(1, min(longest, j) + 1)] for j in range(1, len(m) + 1)]
+            for lang in range(len(names)):
+                log = [0.0]
+                for j, ends in enumerate(found, 1):
+                    terms = [log[j - k] + math.log(p[i, lang]) for k, i in ends if i is not None]
+                    log.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+                out.append(log[-1])
+            known[w] = out
+        return known[w]
+
+    want = {}
+    for r in before:
+        words = letter_words(r.text)
+        if not words:
+            continue
+        total = [sum(word(w)[i] for w in words) for i in range(len(names))]
+        best = max(range(len(names)), key=lambda i: total[i])
+        score = 1 / sum(math.exp(t - total[best]) for t in total)
+        if score >= 0.35 and total[best] / sum(len(w) + 1 for w in words) >= -4:
+            want[r.doc_id] = names[best]
+    assert {r.doc_id: r.lang for r in after} == want
+    assert not {10_000, 10_001, 10_002, 10_003, 10_004} & set(want) and len(want) >= 115
+
+
+def test_toxicity(spark, stages):
+    before, after = stages["toxicity"]
+    held = spark.createDataFrame(before)
+    net, cuts = op7_toxicity.fit(spark, held, spark.read.parquet(f"{DIR}/labels.parquet"), F.lit(True))
+    if net is None:
+        assert len(after) == len(before)
+        return
+    w, want = net.w, set()
+    for r in before:
+        both = op7_toxicity.buckets(letter_words(r.text))
+        x = [w["e0"][net.id[0][a]] + w["e1"][net.id[1][b]] for a, b in both.T]
+        pooled = []
+        for width in op7_toxicity.WIDTHS:
+            best = np.zeros(op7_toxicity.FILTERS)
+            for i in range(len(x)):
+                y = w[f"b{width}"] + sum(x[i + j] @ w[f"f{width}"][j] for j in range(width) if i + j < len(x))
+                best = np.maximum(best, y)
+            pooled.append(best)
+        score = 1 / (1 + math.exp(-(np.concatenate(pooled) @ w["v"] + w["c"][0])))
+        if score < cuts.get(r.lang, op7_toxicity.CUT):
+            want.add(r.doc_id)
+    assert {r.doc_id for r in after} == want
+
+
+def plain_dedup(rows):
+    sets = []
+    for r in rows:
+        words = re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").encode().lower())
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for b in range(len(rows)):
+        for a in range(b):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if 10 * both >= 8 * either:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    out = {}
+    for i, r in enumerate(rows):
+        out[find(i)] = min(r.doc_id, out.get(find(i), r.doc_id))
+    return set(out.values())
+
+
+def test_near_dedup(stages):
+    before, after = stages["near_dedup"]
+    assert {r.doc_id for r in after} == plain_dedup(before) and len(after) == len({r.doc_id for r in after})
+
+
+def plain_pour(budget, caps, weights):
+    """Shares by weight, raised in small steps of what is full."""
+    share, left = {}, dict(caps)
+    while left:
+        total = sum(weights[k] for k in left)
+        full = [k for k in left if left[k] <= budget * weights[k] / total + 1e-9]
+        if not full:
+            return share | {k: budget * weights[k] / total for k in left}
+        for k in full:
+            share[k] = left.pop(k)
+        budget -= sum(share[k] for k in full)
+    return share
+
+
+def test_mixing(stages):
+    before, after = stages["mixing"]
+    tokens = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in before}
+    leaf = defaultdict(list)
+    for r in before:
+        number = re.search(r"(\d{1,9})$", r.source or "")
+        leaf[f"d{int(number[1]) % 4 if number else 0}", r.lang or "none", r.source or "none"].append(r.doc_id)
+    cap = {k: sum(tokens[i] for i in v) for k, v in leaf.items()}
+    group = lambda n, above=(): {x: sum(c for k, c in cap.items() if k[: n + 1] == (*above, x)) for x in {k[n] for k in leaf if k[:n] == above}}
+    want = set()
+    top = group(0)
+    for d, a in plain_pour(0.6 * sum(cap.values()), top, {x: op6_mixing.DOMAINS.get(x, 1.0) for x in top}).items():
+        middle = group(1, (d,))
+        for lang, b in plain_pour(a, middle, {x: op6_mixing.LANGUAGES.get(x, 1.0) for x in middle}).items():
+            low = group(2, (d, lang))
+            for source, c in plain_pour(b, low, dict.fromkeys(low, 1.0)).items():
+                share, ids = math.floor(c + 1e-6), leaf[d, lang, source]
+                if cap[d, lang, source] and share >= cap[d, lang, source]:
+                    want |= set(ids)
+                    continue
+                for i in sorted(ids, key=lambda i: hashlib.md5(f"17|1|{i}".encode()).hexdigest()[:15]):
+                    if 2 * min(tokens[i], share) >= tokens[i] and (share > 0 or not tokens[i]):
+                        want.add(i)
+                    share -= min(tokens[i], share)
+                    if share <= 0:
+                        break
+    assert {r.doc_id for r in after} == want and len(after) == len(want)
+
+
+def test_packing(stages):
+    from tokenizers import Tokenizer
+
+    before, after = stages["packing"]
+    tok = Tokenizer.from_file(public_tokenizers.path(op1_packing.TOKENIZER))
+    pieces = defaultdict(list)
+    for r in after:
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == {r.doc_id for r in before}
+    import zlib
+
+    for r in before:
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        at = 0
+        for x in sorted(pieces[r.doc_id], key=lambda x: x.start):
+            assert x.start == at and x.doc_tokens == len(ids) and x.ids_crc32 == zlib.crc32(ids[at : at + x.length].tobytes())
+            at += x.length
+        assert at == len(ids)
+    sequences = defaultdict(list)
+    for x in after:
+        sequences[x.sequence_id].append((x.offset, x.length))
+    for held in sequences.values():
+        held.sort()
+        assert [o for o, _ in held] == [sum(n for _, n in held[:i]) for i in range(len(held))] and sum(n for _, n in held) <= 4096
