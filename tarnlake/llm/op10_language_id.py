@@ -293,11 +293,11 @@ def remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
-def accepted(spark: SparkSession, docs: DataFrame, least: float = 0.35, least_fit: float = -4.0) -> DataFrame:
+def accepted(spark: SparkSession, docs: DataFrame, least: float = 0.35, least_fit: float = -6.0) -> DataFrame:
     """Documents in a known language, with the columns of docs; lang becomes the predicted one.
 
     Texts without letters are rejected, and so are those whose language is a toss-up (score below `least`), and those that
-    no language fits: below `least_fit` a letter is less likely in the best of them than one drawn from fifty at random.
+    no language fits: below `least_fit` a letter is less likely in the best of them than one drawn from 400 at random.
     """
     out = predict(spark, docs, docs, keep_text=True)
     kept = out.where((F.col("lang_pred") != "und") & (F.col("score") >= least) & (F.col("fit") >= least_fit))

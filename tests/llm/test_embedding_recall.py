@@ -40,10 +40,10 @@ def test_codes_find_pairs_at_the_least_cosine(size, d):
 @pytest.mark.parametrize("tables", [(1, 8), (2, 26), (3, 74)])
 def test_links_of_the_whole_operator(spark, tables):
     ship(spark)
-    x, y = pairs(150, 48, 0.9, 0.96, 3)
+    x, y = pairs(60, 48, 0.9, 0.96, 3)
     v = np.concatenate([x, y]).astype(np.float32)
     cos = (x.astype(np.float32).astype(float) * y.astype(np.float32).astype(float)).sum(axis=1) / np.linalg.norm(x.astype(np.float32).astype(float), axis=1) / np.linalg.norm(y.astype(np.float32).astype(float), axis=1)
     df = spark.createDataFrame([(i, u.astype(float).tolist(), 0) for i, u in enumerate(v)], "vec_id long, embedding array<float>, label int")
     got = {r.vec_id: r for r in op.near(spark, df, tables=tables).collect()}
-    linked = np.array([got[i].n_links == 1 and got[i + 150].component_id == i for i in range(150)])
+    linked = np.array([got[i].n_links == 1 and got[i + 60].component_id == i for i in range(60)])
     assert not linked[cos < 0.93].any() and linked[cos >= 0.93].mean() >= 0.95
