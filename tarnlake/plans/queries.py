@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values
@@ -97,11 +97,6 @@ for _name, (_p, _sql, _mode) in SPARSE.items():
         query(f"select o_orderkey::varchar as id from orders where {_sql}", f"dynamic_{_name}")(lambda spark, sf_dir, p=_p: documents_of(spark, sf_dir).query().filter(p).rows().select("id"))
 
 
-def numbered(rows: DataFrame, *columns: str) -> DataFrame:
-    """Sorted rows with their place. (For the comparison of an order; bounded by the limit of the query.)"""
-    return rows.select(*columns, F.row_number().over(Window.orderBy(F.monotonically_increasing_id())).alias("place"))
-
-
 for _name, _down, _field, _nulls in (("topk_asc", False, "o_totalprice", "asc nulls first"), ("topk_desc", True, "o_totalprice", "desc nulls last"), ("missing_sort_asc", False, "o_orderpriority", "asc nulls first"), ("missing_sort_desc", True, "o_orderpriority", "desc nulls last")):
     query(f"select o_orderkey, p as {_field} from (select o_orderkey, {LOW if _field == 'o_orderpriority' else _field} as p from orders) order by p {_nulls}, o_orderkey::varchar limit 100", _name)(lambda spark, sf_dir, f=_field, d=_down: sparse(spark, sf_dir).query().sort(f, d).limit(100).rows().select("o_orderkey", f))
 
@@ -195,15 +190,12 @@ def mixed(spark, sf_dir) -> Collection:
     return Collection(read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("id"), pair.alias("fields")), F.col("id"), fields="fields")
 
 
-@query("select id, row_number() over (order by k, i, f, s, id) as place from (select p_partkey::varchar as id, case p_partkey % 5 when 4 then 0 when 3 then 1 when 0 then 2 when 2 then 3 else 4 end as k, case when p_partkey % 5 = 0 then p_size end as i, case when p_partkey % 5 = 2 then p_retailprice end as f, case when p_partkey % 5 = 1 then p_brand end as s from part) order by place limit 5000")
+@query("select id, row_number() over (order by k, i, f, s, id) as place from (select p_partkey::varchar as id, case p_partkey % 5 when 4 then 0 when 3 then 1 when 0 then 2 when 2 then 3 else 4 end as k, case when p_partkey % 5 = 0 then p_size end as i, case when p_partkey % 5 = 2 then p_retailprice end as f, case when p_partkey % 5 = 1 then p_brand end as s from part)")
 def cross_type_order(spark, sf_dir):
-    return numbered(mixed(spark, sf_dir).query().sort("v").limit(5000).rows(), "id")
+    return placed(mixed(spark, sf_dir).query().sort("v").rows(), "id")
 
 
-@query("select id, row_number() over (order by k, i, f, s, id) as place from (select p_partkey::varchar as id, case p_partkey % 5 when 4 then 0 when 3 then 1 when 0 then 2 when 2 then 3 else 4 end as k, case when p_partkey % 5 = 0 then p_size end as i, case when p_partkey % 5 = 2 then p_retailprice end as f, case when p_partkey % 5 = 1 then p_brand end as s from part)")
-def cross_type_order_all(spark, sf_dir):
-    """The order of all parts; cross_type_order stops where its SQL does."""
-    return placed(mixed(spark, sf_dir).query().sort("v").rows(), "id")
+query(ORACLE_SQL["cross_type_order"], "cross_type_order_all")(cross_type_order)
 
 
 @query("select p_partkey::varchar as id from part where p_partkey % 5 in (1, 2) or p_partkey % 5 = 0 and p_size > 20")
@@ -232,6 +224,11 @@ def or_union_ids(spark, sf_dir):
     return union_ids(of.find("o_custkey", "eq", 5), of.find("o_totalprice", "gt", 4e5), of.find("o_orderstatus", "eq", "P"))
 
 
+@query(f"select {', '.join(ORDER)} from orders")
+def collection_scan(spark, sf_dir):
+    return orders(spark, sf_dir).scan()
+
+
 @query("select o_orderkey, o_totalprice from orders where o_orderkey = 7")
 def entity_get(spark, sf_dir):
     return orders(spark, sf_dir).get("7").select("o_orderkey", "o_totalprice")

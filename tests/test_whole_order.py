@@ -1,4 +1,4 @@
-"""The order across types on a table of more rows than cross_type_order returns."""
+"""The order across types, of all rows, without a window over all of them."""
 
 import duckdb
 
