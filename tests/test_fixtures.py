@@ -49,6 +49,7 @@ def test_absent_fields_and_projection(spark):
             bad()
 
 
+# fixed values, and their answers
 @pytest.mark.parametrize(
     "column, want",
     [
@@ -67,6 +68,7 @@ def test_aggregates(spark, column, want):
         assert got == x and type(got) is type(x)
 
 
+# fixed ids and their order
 def test_ties_stay_in_order_of_id(spark):
     of = collection(spark, {k: {"age": 50} for k in ("a1", "a2", "a10", "a11", "a3")} | {"b1": {"age": 40}, "b2": {"age": 60}})
     assert ids(of.query().sort("age").rows()) == ["b1", "a1", "a10", "a11", "a2", "a3", "b2"]
