@@ -26,7 +26,7 @@ def test_codes_find_pairs_at_the_least_cosine(size, d):
     width, number = op.shape(size, 0.93, 0.97, 256)
     bits = 8 * width * number
     x, y = pairs(2000, d, 0.93, 0.935, d)
-    learn, _ = pairs(6000, d, 0, 0.1, 7)
+    learn, _ = pairs(1500, d, 0, 0.1, 7)
     mean, projection = op.learn(learn, bits)
     a, b = ((np.packbits((v - mean) @ projection >= 0, axis=1)) for v in (x, y))
     shared = (a.reshape(len(x), number, width) == b.reshape(len(x), number, width)).all(axis=2).any(axis=1)
